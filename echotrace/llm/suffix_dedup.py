@@ -37,6 +37,7 @@ from .common import cut, table
 
 LENGTH, K, V = 400, 32, 31
 BLOCK_BYTES, HOT_PIECES = 2_000_000, 20_000
+NO_ID = -(2**63)  # stands for a null doc_id within the operator
 PIECES = "v bigint, p1 bigint, p2 bigint, doc bigint, tk bigint, start bigint, size bigint, again boolean"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -234,9 +235,9 @@ def _repeats(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a row key that is never null: doc and tk."""
+    """doc, tk and text; doc and tk are a row key that is never null, so both joins with texts can share one exchange."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("tk"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
 def repeats(keyed: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES) -> DataFrame:
@@ -251,7 +252,7 @@ def repeats(keyed: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES
                 kinds = [pa.int64()] * 7 + [pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["v", "p1", "p2", "doc", "tk", "start", "size", "again"])
 
-    pieces = cut(keyed.select("doc", "tk", "text").mapInArrow(cut_up, PIECES))
+    pieces = cut(keyed.mapInArrow(cut_up, PIECES))
     classes = cut(pieces.groupBy("v", "p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tk", "start", "size")).alias("one"), F.max("again").alias("again")))
     copies = classes.where("n > 1").select("v", "p1", "p2")
     whole = pieces.join(copies, ["v", "p1", "p2"]).select("doc", "tk", "start", (F.col("start") + F.col("size")).alias("end"))
@@ -275,7 +276,7 @@ def repeats(keyed: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["v", "part", "parts", "n", "doc", "tk", "start", "bytes"])
 
-    fetched = keyed.select("doc", "tk", "text").join(lists, ["doc", "tk"]).select("doc", "tk", "text", "pieces").mapInArrow(fetch, "v bigint, part int, parts int, n bigint, doc bigint, tk bigint, start bigint, bytes binary")
+    fetched = keyed.join(lists, ["doc", "tk"]).select("doc", "tk", "text", "pieces").mapInArrow(fetch, "v bigint, part int, parts int, n bigint, doc bigint, tk bigint, start bigint, bytes binary")
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     dealt = fetched.withColumn("key", F.xxhash64("v", "part")).repartition(count, "key").sortWithinPartitions("key")
     return whole.unionByName(_repeats(dealt, length))
@@ -302,7 +303,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES) -
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    joined = keyed.join(spans, ["doc", "tk"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    joined = keyed.join(spans, ["doc", "tk"], "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 
 
