@@ -12,8 +12,9 @@ say more: navigation, forms, scripts and the like, and classes that name them, h
 a page marks its article, what lies outside is too. The rest is joined block by block.
 
 The tree is summed on the map side from hashes; texts are not shuffled for it. A page then meets only
-the low nodes of its host, a list bounded by the host's templates; Spark broadcasts these lists if
-they are small and else joins by host with its skew handling.
+the low nodes of its host, a list bounded by the host's templates. Pages join these lists by host; a
+host with over 1/HOT_SHARE of all pages, of which there are at most HOT_SHARE, is salted into parts of
+that many pages, and its list goes to each part.
 
 Edge cases. A null html counts as empty and gives an empty text; a null url is a host of its own. Cut
 off or unclosed markup is read as far as it goes. Repeated rows each give a row, and count once per
@@ -22,6 +23,7 @@ row as pages of the host. An empty table gives an empty result. Other columns ar
 
 from __future__ import annotations
 
+import math
 import re
 from html import unescape
 
@@ -34,6 +36,7 @@ from .arrow import small_batches, texts
 from .common import table
 
 LOW, LEAST_PAGES, GAMMA = 0.2, 4, 0.9
+HOT_SHARE, HOT_LEAST = 1000, 64
 NOISE_TAGS = frozenset("head nav footer aside form script style noscript iframe button select option template svg canvas textarea dialog menu object title".split())
 MAIN_TAGS = frozenset(("article", "main"))
 NOISE_NAMES = frozenset(
@@ -195,9 +198,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
     nodes = style_tree(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < low))
-    lists = nodes.groupBy("host").agg(F.collect_set("path").alias("low")).withColumnRenamed("host", "h")
+    lists = nodes.groupBy("host").agg(F.collect_set("path").alias("low"))
     p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    p = p.join(lists, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "low")
+    most = max(math.ceil(pages.count() / HOT_SHARE), HOT_LEAST)
+    # At most HOT_SHARE rows, so their broadcast is bounded.
+    hot = p.groupBy("host").count().where(F.col("count") > most).select(F.col("host").alias("hot"), F.ceil(F.col("count") / most).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    lists = lists.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left").select(F.col("host").alias("h"), "low", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("s"))
+    p = p.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), parts))
+    p = p.join(lists, (F.col("host") == F.col("h")) & (F.col("salt") == F.col("s")), "left").select("page_id", "url", "html", "low")
 
     def run(batches):
         for b in batches:

@@ -73,8 +73,9 @@ def test_html():
 
 def test_style_tree_removes_what_a_site_repeats(spark):
     rows = [(i, f"http://h/{i}", f"<div class=x>same words</div><div class=y>text of page {i}</div>") for i in range(6)] + [(9, None, None)]
+    rows += [(i, f"http://hot/{i}", f"<p class=x>always this</p><p class=y>text of page {i}</p>") for i in range(100, 300)]
     got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id int, url string, html string").selectExpr("cast(page_id as long) page_id", "url", "html")).collect()}
-    assert got == {i: f"text of page {i}" for i in range(6)} | {9: ""}
+    assert got == {i: f"text of page {i}" for i in (*range(6), *range(100, 300))} | {9: ""}
 
 
 def test_passages(docs, spark):
