@@ -3,7 +3,8 @@
 The plan: one narrow pass gives a row of (key hash, document) for each distinct key of a document,
 summed on the map side; a second narrow pass finds the positions of lines whose key is frequent;
 only then do texts move, once, to meet the positions that leave them. A key that a third of all
-lines share is summed before the shuffle; the join on it is left to adaptive skew handling.
+lines share is summed before the shuffle; the HOT_KEYS keys of most documents are then broadcast, and
+their lines pass the join on a scattered key, while all other keys meet in it.
 
 Edge cases. A null or empty text has one empty line and keeps it. A document is a doc_id: where
 rows repeat a doc_id, the line counts once for that doc_id, and each row is reassembled by itself.
@@ -21,6 +22,7 @@ from .common import BLANKS, ascii_lower, let, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+HOT_KEYS = 1000
 
 
 def _text() -> Column:
@@ -42,8 +44,14 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     lines = docs.select("doc_id", F.explode(_keys(F.split(_text(), "\n"), min_chars)).alias("k")).select("doc_id", "k.*")
     # Distinct within the row before the explode would miss rows that repeat a doc_id, so pairs are made distinct by Spark.
     held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("last"))
-    frequent = held.where(F.col("n") >= min_docs).select("h1", "h2", "last")
-    lost = lines.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    frequent = held.where(F.col("n") >= min_docs)
+    hot = frequent.orderBy(F.desc("n"), "h1", "h2").limit(HOT_KEYS).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("last").alias("hot_last"), F.lit(True).alias("hot"))
+    rest = frequent.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("last").alias("rest_last"), F.lit(True).alias("found"))
+    lines = lines.join(F.broadcast(hot), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    lines = lines.withColumn("k", F.when(F.col("hot"), F.xxhash64("doc_id", "pos")).otherwise(F.col("h1")))
+    met = lines.join(rest, (F.col("k") == F.col("f1")) & (F.col("h2") == F.col("f2")) & F.col("hot").isNull(), "left")
+    last = F.when(F.col("hot"), F.col("hot_last")).otherwise(F.col("rest_last"))
+    lost = met.where((F.col("hot") | F.col("found")) & ~F.col("doc_id").eqNullSafe(last))
     return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
