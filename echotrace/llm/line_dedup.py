@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, let, table
+from .common import BLANKS, ascii_lower, cut, let, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -44,7 +44,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     lines = docs.select("doc_id", F.explode(_keys(F.split(_text(), "\n"), min_chars)).alias("k")).select("doc_id", "k.*")
     # Distinct within the row before the explode would miss rows that repeat a doc_id, so pairs are made distinct by Spark.
     held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("last"))
-    frequent = held.where(F.col("n") >= min_docs)
+    frequent = cut(held.where(F.col("n") >= min_docs))
     hot = frequent.orderBy(F.desc("n"), "h1", "h2").limit(HOT_KEYS).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("last").alias("hot_last"), F.lit(True).alias("hot"))
     rest = frequent.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("last").alias("rest_last"), F.lit(True).alias("found"))
     lines = lines.join(F.broadcast(hot), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
