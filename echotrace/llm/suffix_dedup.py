@@ -13,7 +13,10 @@
    the same shift; then the bytes that the ranks leave at the end. So a comparison costs a few words,
    not ``length`` bytes, and memory is bounded by the block and one group of buckets. The cover {x mod V
    in D} holds for any two positions a common shift below V. Suffixes that compare equal repeat.
-   A minimizer with over ``hot_pieces`` classes is dealt to several tasks by bucket.
+   Memory of a task is bounded by ``hot_pieces``: a minimizer with more classes than that (only huge groups
+   of near copies have so many) is left to an exact way for the rest, which compares 128-bit hashes of its
+   classes' windows in a grouped count, spread over all tasks.
+   Joins send the rows of the HOT_KEYS most frequent keys past the exchange to a broadcast of those keys.
 4. The repeats of each document are merged and cut out of its bytes.
 
 Edge cases. A null or empty text has 0 bytes. Texts shorter than ``length`` lose nothing. A document is
@@ -29,14 +32,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import runs, small_batches, texts
 from .common import cut, table
 
 LENGTH, K, V = 400, 32, 31
-BLOCK_BYTES, HOT_PIECES = 2_000_000, 20_000
+BLOCK_BYTES, HOT_PIECES, HOT_KEYS = 2_000_000, 20_000, 1000
 NO_ID = -(2**63)  # stands for a null doc_id within the operator
 PIECES = "v bigint, p1 bigint, p2 bigint, doc bigint, tk bigint, start bigint, size bigint, again boolean"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -161,13 +164,13 @@ class Block:
         settle(self.word[a[todo] + s].byteswap(), self.word[b[todo] + s].byteswap())
         return out
 
-    def repeated(self, part: int = 0, parts: int = 1, most: int = 2_000_000) -> np.ndarray:
-        """Which windows have an equal one in the block, of the buckets that fall to this part."""
+    def repeated(self, most: int = 2_000_000) -> np.ndarray:
+        """Which windows have an equal one in the block."""
         found = np.zeros(len(self.start), bool)
         bucket = self.word[self.start] * _M[0] >> np.uint64(40)
         rounds = max(1, len(self.start) // most)
         for turn in range(rounds):
-            mine = np.flatnonzero((bucket % np.uint64(parts) == part) & (bucket // np.uint64(parts) % np.uint64(rounds) == turn)) if parts * rounds > 1 else np.arange(len(self.start))
+            mine = np.flatnonzero(bucket % np.uint64(rounds) == turn)
             order = mine[np.lexsort((self.word[self.start[mine]], self.group[mine]))]
             w, g = self.word[self.start[order]], self.group[order]
             new = np.concatenate(([True], (w[1:] != w[:-1]) | (g[1:] != g[:-1]))) if len(order) else np.zeros(0, bool)
@@ -203,31 +206,23 @@ class Block:
 
 
 def _repeats(rows: DataFrame, length: int) -> DataFrame:
-    """(doc, tk, start, end) of repeated bytes, from pieces with their text, sorted by key in each partition."""
+    """(doc, tk, start, end) of repeated bytes, from pieces with their text, sorted by v in each partition."""
 
     def solve(batch: list[tuple]) -> pa.RecordBatch | None:
         block = Block([r[5] for r in batch], [r[0] for r in batch], length)
-        out = []
-        for part, parts in {(r[6], r[7]) for r in batch}:  # one minimizer's block if parts > 1
-            out += [(batch[p][1], batch[p][2], batch[p][3] + a, batch[p][3] + b) for p, a, b in block.spans(block.repeated(part, parts)) if batch[p][4] == 1]
+        out = [(batch[p][1], batch[p][2], batch[p][3] + a, batch[p][3] + b) for p, a, b in block.spans(block.repeated()) if batch[p][4] == 1]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc", "tk", "start", "end"]) if out else None
 
     def run(batches):
         held, size = [], 0
-        for group in runs(batches, "key"):
-            columns = [group.column(c).to_pylist() for c in ("key", "doc", "tk", "start", "n", "bytes", "part", "parts")]
-            new = list(zip(*columns))
-            alone = new[0][7] > 1
-            if held and (alone or size > BLOCK_BYTES):
+        for group in runs(batches, "v"):
+            if held and size > BLOCK_BYTES:
                 if (out := solve(held)) is not None:
                     yield out
                 held, size = [], 0
+            new = list(zip(*(group.column(c).to_pylist() for c in ("v", "doc", "tk", "start", "n", "bytes"))))
             held += new
             size += sum(len(r[5]) for r in new)
-            if alone:
-                if (out := solve(held)) is not None:
-                    yield out
-                held, size = [], 0
         if held and (out := solve(held)) is not None:
             yield out
 
@@ -240,6 +235,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
+def _matched(rows: DataFrame, found: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """The inner join of rows with found, which has one row a key and says in count how many rows it is for.
+
+    The HOT_KEYS keys of most rows are broadcast, so that their rows do not meet in one task."""
+    hot = F.broadcast(found.orderBy(F.desc(count), *keys).limit(HOT_KEYS))
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(found, keys))
+
+
+def _window_repeats(keyed: DataFrame, reps: DataFrame, length: int) -> DataFrame:
+    """(doc, tk, start, end) of repeats among the pieces reps, by hashes of all their windows."""
+    lists = reps.groupBy("doc", "tk").agg(F.collect_list(F.struct("n", "start", "size")).alias("pieces"))
+
+    def hash_all(batches):
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            for doc, tk, text, pieces in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), b.column(3).to_pylist()):
+                for p in pieces:
+                    at = np.arange(p["start"], p["start"] + p["size"] - length + 1)
+                    h = np.frombuffer(b"".join(xxh3_128_digest(text[a : a + length]) for a in at.tolist()), np.int64).reshape(-1, 2)
+                    same = lambda x: pa.array(np.full(len(at), x, np.int64))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), same(doc), same(tk), pa.array(at), same(p["n"])], ["h1", "h2", "doc", "tk", "start", "n"])
+
+    hashed = keyed.join(lists, ["doc", "tk"]).select("doc", "tk", "text", "pieces").mapInArrow(hash_all, "h1 bigint, h2 bigint, doc bigint, tk bigint, start bigint, n bigint")
+    w = cut(hashed)
+    twice = cut(w.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1"))
+    at = _matched(w.where("n = 1"), twice, ["h1", "h2"], "times").select("doc", "tk", "start").distinct()
+    island = F.col("start") - F.row_number().over(Window.partitionBy("doc", "tk").orderBy("start"))
+    return at.withColumn("island", island).groupBy("doc", "tk", "island").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("island")
+
+
 def repeats(keyed: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """(doc, tk, start, end): byte ranges that repeats of length bytes cover, possibly overlapping."""
     spark = keyed.sparkSession
@@ -254,13 +280,14 @@ def repeats(keyed: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES
 
     pieces = cut(keyed.mapInArrow(cut_up, PIECES))
     classes = cut(pieces.groupBy("v", "p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tk", "start", "size")).alias("one"), F.max("again").alias("again")))
-    copies = classes.where("n > 1").select("v", "p1", "p2")
-    whole = pieces.join(copies, ["v", "p1", "p2"]).select("doc", "tk", "start", (F.col("start") + F.col("size")).alias("end"))
+    keys = ["v", "p1", "p2"]
+    copies = classes.where("n > 1").select(*keys, "n")
+    whole = _matched(pieces, copies, keys, "n").select("doc", "tk", "start", (F.col("start") + F.col("size")).alias("end"))
 
-    shared = classes.groupBy("v").agg(F.count("*").alias("kinds"), F.max("again").alias("self")).where("kinds > 1 or self")
-    parts = F.ceil(F.col("kinds") / hot_pieces).cast("int").alias("parts")
-    wanted = classes.join(shared.select("v", parts), "v").select("one.*", "v", "n", "parts")
-    lists = wanted.groupBy("doc", "tk").agg(F.collect_list(F.struct("v", "n", "parts", "start", "size")).alias("pieces"))
+    shared = cut(classes.groupBy("v").agg(F.count("*").alias("kinds"), F.max("again").alias("self")).where("kinds > 1 or self").select("v", "kinds"))
+    one = classes.select("v", "n", "one")
+    wanted = _matched(one, shared.where(F.col("kinds") <= hot_pieces), ["v"], "kinds").select("one.*", "v", "n")
+    lists = wanted.groupBy("doc", "tk").agg(F.collect_list(F.struct("v", "n", "start", "size")).alias("pieces"))
 
     def fetch(batches):
         for b in batches:
@@ -271,15 +298,18 @@ def repeats(keyed: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES
                     a, e = p["start"], p["start"] + p["size"]
                     if (a, p["v"]) not in done:  # rows that repeat doc_id and text bring a piece twice
                         done.add((a, p["v"]))
-                        out += [(p["v"], part, p["parts"], p["n"], doc, tk, a, text[a:e]) for part in range(p["parts"])]
+                        out.append((p["v"], p["n"], doc, tk, a, text[a:e]))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["v", "part", "parts", "n", "doc", "tk", "start", "bytes"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["v", "n", "doc", "tk", "start", "bytes"])
 
-    fetched = keyed.join(lists, ["doc", "tk"]).select("doc", "tk", "text", "pieces").mapInArrow(fetch, "v bigint, part int, parts int, n bigint, doc bigint, tk bigint, start bigint, bytes binary")
+    fetched = keyed.join(lists, ["doc", "tk"]).select("doc", "tk", "text", "pieces").mapInArrow(fetch, "v bigint, n bigint, doc bigint, tk bigint, start bigint, bytes binary")
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    dealt = fetched.withColumn("key", F.xxhash64("v", "part")).repartition(count, "key").sortWithinPartitions("key")
-    return whole.unionByName(_repeats(dealt, length))
+    out = whole.unionByName(_repeats(fetched.repartition(count, "v").sortWithinPartitions("v"), length))
+    crowded = shared.where(F.col("kinds") > hot_pieces)
+    if crowded.take(1):
+        out = out.unionByName(_window_repeats(keyed, _matched(one, crowded, ["v"], "kinds").select("one.*", "n"), length))
+    return out
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES) -> DataFrame:
