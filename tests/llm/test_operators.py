@@ -85,6 +85,19 @@ def test_passages(docs, spark):
     assert passage_dedup.near_passages(empty(docs)).count() == 0
 
 
+def test_passages_of_a_frequent_key(spark):
+    shared = " ".join(f"s{i}" for i in range(120))
+    rows = [(i, f"{' '.join(f'u{i}x{k}' for k in range(30))} {shared} {' '.join(f'v{i}x{k}' for k in range(i % 40))}") for i in range(60)]
+    rows += [(i, rows[3][1]) for i in range(60, 80)]
+    found = passage_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    root = list(range(80))
+    for _ in range(80):
+        for r in found:
+            root[r.doc_id_a] = root[r.doc_id_b] = min(root[r.doc_id_a], root[r.doc_id_b])
+    assert set(root) == {0}
+    assert all(r.start_a <= 30 and r.end_a >= 150 and r.start_b <= 30 and r.end_b >= 150 for r in found)
+
+
 def test_compact_windows_cover_every_run_once():
     import numpy as np
 
