@@ -46,3 +46,12 @@ def ascii_lower(value: Column) -> Column:
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     """How many parts of about per_part rows each hold rows."""
     return max(least, math.ceil(rows / per_part))
+
+
+def matched(rows: DataFrame, found: DataFrame, keys: list[str], count: str, hot_keys: int = 1000) -> DataFrame:
+    """The inner join of rows with found, which has one row a key and says in count how many rows it is for.
+
+    The hot_keys keys of most rows are broadcast, so that their rows do not meet in one task.
+    """
+    hot = F.broadcast(found.orderBy(F.desc(count), *keys).limit(hot_keys))
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(found, keys))

@@ -16,7 +16,7 @@
    Memory of a task is bounded by ``hot_pieces``: a minimizer with more classes than that (only huge groups
    of near copies have so many) is left to an exact way for the rest, which compares 128-bit hashes of its
    classes' windows in a grouped count, spread over all tasks.
-   Joins send the rows of the HOT_KEYS most frequent keys past the exchange to a broadcast of those keys.
+   Joins send the rows of the most frequent keys past the exchange to a broadcast of those keys.
 4. The repeats of each document are merged and cut out of its bytes.
 
 Edge cases. A null or empty text has 0 bytes. Texts shorter than ``length`` lose nothing. A document is
@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import runs, small_batches, texts
-from .common import cut, table
+from .common import cut, matched, table
 
 LENGTH, K, V = 400, 32, 31
-BLOCK_BYTES, HOT_PIECES, HOT_KEYS = 2_000_000, 20_000, 1000
+BLOCK_BYTES, HOT_PIECES = 2_000_000, 20_000
 NO_ID = -(2**63)  # stands for a null doc_id within the operator
 PIECES = "v bigint, p1 bigint, p2 bigint, doc bigint, tk bigint, start bigint, size bigint, again boolean"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -235,14 +235,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-def _matched(rows: DataFrame, found: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """The inner join of rows with found, which has one row a key and says in count how many rows it is for.
-
-    The HOT_KEYS keys of most rows are broadcast, so that their rows do not meet in one task."""
-    hot = F.broadcast(found.orderBy(F.desc(count), *keys).limit(HOT_KEYS))
-    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(found, keys))
-
-
 def _window_repeats(keyed: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     """(doc, tk, start, end) of repeats among the pieces reps, by hashes of all their windows."""
     lists = reps.groupBy("doc", "tk").agg(F.collect_list(F.struct("n", "start", "size")).alias("pieces"))
@@ -261,7 +253,7 @@ def _window_repeats(keyed: DataFrame, reps: DataFrame, length: int) -> DataFrame
     hashed = keyed.join(lists, ["doc", "tk"]).select("doc", "tk", "text", "pieces").mapInArrow(hash_all, "h1 bigint, h2 bigint, doc bigint, tk bigint, start bigint, n bigint")
     w = cut(hashed)
     twice = cut(w.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1"))
-    at = _matched(w.where("n = 1"), twice, ["h1", "h2"], "times").select("doc", "tk", "start").distinct()
+    at = matched(w.where("n = 1"), twice, ["h1", "h2"], "times").select("doc", "tk", "start").distinct()
     island = F.col("start") - F.row_number().over(Window.partitionBy("doc", "tk").orderBy("start"))
     return at.withColumn("island", island).groupBy("doc", "tk", "island").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("island")
 
@@ -282,11 +274,11 @@ def repeats(keyed: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES
     classes = cut(pieces.groupBy("v", "p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tk", "start", "size")).alias("one"), F.max("again").alias("again")))
     keys = ["v", "p1", "p2"]
     copies = classes.where("n > 1").select(*keys, "n")
-    whole = _matched(pieces, copies, keys, "n").select("doc", "tk", "start", (F.col("start") + F.col("size")).alias("end"))
+    whole = matched(pieces, copies, keys, "n").select("doc", "tk", "start", (F.col("start") + F.col("size")).alias("end"))
 
     shared = cut(classes.groupBy("v").agg(F.count("*").alias("kinds"), F.max("again").alias("self")).where("kinds > 1 or self").select("v", "kinds"))
     one = classes.select("v", "n", "one")
-    wanted = _matched(one, shared.where(F.col("kinds") <= hot_pieces), ["v"], "kinds").select("one.*", "v", "n")
+    wanted = matched(one, shared.where(F.col("kinds") <= hot_pieces), ["v"], "kinds").select("one.*", "v", "n")
     lists = wanted.groupBy("doc", "tk").agg(F.collect_list(F.struct("v", "n", "start", "size")).alias("pieces"))
 
     def fetch(batches):
@@ -308,7 +300,7 @@ def repeats(keyed: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES
     out = whole.unionByName(_repeats(fetched.repartition(count, "v").sortWithinPartitions("v"), length))
     crowded = shared.where(F.col("kinds") > hot_pieces)
     if crowded.take(1):
-        out = out.unionByName(_window_repeats(keyed, _matched(one, crowded, ["v"], "kinds").select("one.*", "n"), length))
+        out = out.unionByName(_window_repeats(keyed, matched(one, crowded, ["v"], "kinds").select("one.*", "n"), length))
     return out
 
 
