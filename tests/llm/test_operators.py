@@ -98,6 +98,32 @@ def test_passages_of_a_frequent_key(spark):
     assert all(r.start_a <= 30 and r.end_a >= 150 and r.start_b <= 30 and r.end_b >= 150 for r in found)
 
 
+def test_passages_between_the_whole_chain_and_exact_stretches(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: f"q{rng.randrange(10**9)}"
+    words = lambda n: [word() for _ in range(n)]
+    edited = lambda x, at: [*x[:at], word(), *x[at + 1 :]]
+    rows, want = [], {}
+    for k in range(40):
+        one, two = words(90), words(90)
+        rows += [(4 * k, [*words(20), *one, *words(60), *two]), (4 * k + 1, [*words(35), *edited(one, 40), *words(60), *edited(two, 50)])]
+        want[4 * k] = [(20, 110, 35, 125), (170, 260, 185, 275)]
+        one = words(60)
+        rows += [(4 * k + 2, [*words(15), *one, *words(30)]), (4 * k + 3, [*words(25), *edited(one, 11), *words(10)])]
+        want[4 * k + 2] = [(15, 75, 25, 85)]
+    texts = dict(rows)
+    found = {}
+    for r in passage_dedup.near_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect():
+        a, b = ({tuple(w[i : i + 5]) for i in range(x, y - 4)} for w, x, y in ((texts[r.doc_id_a], r.start_a, r.end_a), (texts[r.doc_id_b], r.start_b, r.end_b)))
+        assert r.similarity == pytest.approx(len(a & b) / len(a | b)) and r.similarity >= 0.8
+        found.setdefault(r.doc_id_a, []).append((r.start_a, r.end_a, r.start_b, r.end_b))
+    # What is found is whole; what min-hashes by four functions leave out is no more than their chance.
+    assert all(set(v) <= set(want[k]) for k, v in found.items())
+    assert sum(map(len, found.values())) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_compact_windows_cover_every_run_once():
     import numpy as np
 
