@@ -124,6 +124,29 @@ def test_passages_between_the_whole_chain_and_exact_stretches(spark):
     assert sum(map(len, found.values())) >= 0.9 * sum(map(len, want.values()))
 
 
+def texts_with_a_frequent_line(n, own):
+    """n texts with one frequent line of 45 words; 2i and 2i + 1 share the own words before it too, and then no other text does."""
+    line = " ".join(f"line{k}" for k in range(45))
+    return [(i, f"{' '.join(f'u{i}x{k}' for k in range(40))} {' '.join(f'p{i // 2}x{k}' for k in range(own))} {line} {' '.join(f'v{i}x{k}' for k in range(30))}") for i in range(n)]
+
+
+@pytest.mark.parametrize("own", [15, 10])
+def test_passages_of_two_texts_around_a_frequent_line(spark, own):
+    rows = texts_with_a_frequent_line(300, own)
+    got = {(r.doc_id_a, r.doc_id_b): (r.start_a, r.end_a, r.start_b, r.end_b) for r in passage_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {(i, i + 1): (40, 85 + own, 40, 85 + own) for i in range(0, 300, 2)}
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    rows = texts_with_a_frequent_line(120, 20)
+    rows += [(i, rows[0][1]) for i in range(200, 210)]  # copies are rows of one key too
+    rows.append((300, f"{' '.join(f'z{k}' for k in range(60))} {' '.join(f'line{k}' for k in range(45))}"))  # shares the line only
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(tuple, passage_dedup.near_passages(docs.repartition(n, "doc_id")).collect())) for n in (1, 3, 40)]
+    want = {(i, i + 1) for i in range(0, 120, 2)} | {(0, i) for i in range(200, 210)}
+    assert got[0] == got[1] == got[2] and {x[:2] for x in got[0]} == want
+
+
 def test_compact_windows_cover_every_run_once():
     import numpy as np
 
