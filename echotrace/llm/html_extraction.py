@@ -8,8 +8,9 @@ Presentation: a node's styles are the sequences of its child blocks, and importa
 its pages over them, to the base m. A parent's importance is (1 - GAMMA) of its presentation and GAMMA
 of its content; a node seen on few pages tells nothing and counts as important. The tags themselves
 say more: navigation, forms, scripts and the like, and classes that name them, have no importance;
-``article`` and ``main`` always have. Branches of low importance are removed from each page, and if
-a page marks its article, what lies outside is too. The rest is joined block by block.
+``article`` and ``main`` are exempt from such classes, but for those of comments on ``article``. Branches
+of low importance are removed from each page, inside its article too, and if a page marks its article,
+what lies outside is removed as well. The rest, which may be nothing, is joined block by block.
 
 The tree is summed on the map side from hashes; texts are not shuffled for it. A page then meets only
 the low nodes of its host, a list bounded by the host's templates. Pages join these lists by host; a
@@ -43,6 +44,7 @@ NOISE_NAMES = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo cookie cookies consent notice popup modal sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs comment comments disqus footer share sharing social related newsletter subscribe login search toolbar pager pagination".split()
 )
+COMMENT_NAMES = frozenset(("comment", "comments", "disqus"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -64,7 +66,7 @@ class Element:
         self.above = above.path if above else 0
         inside = above is not None and above.main
         words = {w for n in names for w in re.split(r"[-_\s]+", n)}
-        noise = tag in NOISE_TAGS or (tag == "header" and not inside) or bool(words & NOISE_NAMES and tag not in ("body", "html", "article", "main"))
+        noise = tag in NOISE_TAGS or (tag == "header" and not inside) or bool(words & (COMMENT_NAMES if tag == "article" else NOISE_NAMES) and tag not in ("body", "html", "main"))
         self.noise = noise or (above is not None and above.noise)
         self.main = inside or tag in MAIN_TAGS
         self.article = tag == "article" or (above is not None and above.article)
@@ -146,11 +148,8 @@ def blocks(html: str) -> list[tuple[Element, str]]:
 def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
     """The page's main text; low: the style nodes of its site that have low importance."""
     rest = [(e, t) for e, t in blocks(html) if not e.noise]
-    for marked in ([x for x in rest if x[0].article], [x for x in rest if x[0].main]):
-        if marked:
-            return "\n".join(t for _, t in marked)
-    important = [t for e, t in rest if e.path not in low and e.above not in low]
-    return "\n".join(important or [t for _, t in rest])
+    marked = [x for x in rest if x[0].article] or [x for x in rest if x[0].main]
+    return "\n".join(t for e, t in marked or rest if e.path not in low and e.above not in low)
 
 
 def host_of(url: Column) -> Column:

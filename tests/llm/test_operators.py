@@ -78,6 +78,13 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert got == {i: f"text of page {i}" for i in (*range(6), *range(100, 300))} | {9: ""}
 
 
+def test_style_tree_decides_inside_the_article(spark):
+    page = "<article class=post><div class=x>join our letter today</div><p>text of page {0}<article class=comment><p>reader {0} says</article></article><div class=y>side {0}</div>"
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in range(8)] + [(20 + i, f"http://same/{i}", "<div class=x>only this</div>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text of page {i}" for i in range(8)} | {20 + i: "" for i in range(8)}
+
+
 def test_passages(docs, spark):
     got = {(r.doc_id_a, r.doc_id_b) for r in passage_dedup.near_passages(docs).collect()}
     group = {x for p in got for x in p}
