@@ -35,7 +35,7 @@ PATTERNS = {
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": (r"[0-9][\x20-]?[0-9]", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "secret": (r"(?i)[a-z]", rf"""(?i:(?<![A-Za-z]){_KEY})[\x20"']{{0,3}}[:=][\x20"']{{0,3}}[A-Za-z0-9_/+.-]{{8,200}}"""),
+    "secret": (r"(?i)[a-z]", rf"""(?i:(?<![A-Za-z]){_KEY})[\x20"']{{0,3}}[:=][\x20"']{{0,3}}[A-Za-z0-9_/+.-]{{8,}}+"""),
     "ssn": (r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
 }

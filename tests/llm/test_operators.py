@@ -85,6 +85,12 @@ def test_style_tree_decides_inside_the_article(spark):
     assert got == {i: f"text of page {i}" for i in range(8)} | {20 + i: "" for i in range(8)}
 
 
+def test_pii_secret_is_whole(spark):
+    text = f"use token={'aB3.' * 150} now"
+    spans = pii.find(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().spans
+    assert [(s.start, s.end) for s in spans if s.kind == "secret"] == [(4, len(text) - 4)]
+
+
 def test_passages(docs, spark):
     got = {(r.doc_id_a, r.doc_id_b) for r in passage_dedup.near_passages(docs).collect()}
     group = {x for p in got for x in p}
