@@ -18,7 +18,8 @@ is searched in a task of its own.
 A shard returns a spanning forest of the links that it finds, not all pairs; components() joins them.
 
 Edge cases. Null and empty texts have fingerprint zero and are linked like any other. Rows that
-repeat a doc_id count as one document with several texts, which links them. A null doc_id is given
+repeat a doc_id with several texts are not linked by it: each row has the component of its own text, named
+by the smallest doc_id there. A null doc_id is given
 the component of its fingerprint's other rows, or null. An empty table gives an empty result.
 Other columns are ignored by ``near_duplicates`` and kept by ``keep_first``.
 """
