@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
+import re
 import tempfile
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +24,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it from there.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) is a
-    local one made. A lost executor then costs no recomputation of what came before.
-    """
+def _folder(df: DataFrame) -> str:
+    """The checkpoint folder: the session's spark.checkpoint.dir. Only where that is unset and all tasks run in the
+    driver's own process (tests) is a local one made; a cluster without the setting is an error."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"echotrace-{os.getpid()}"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's shared checkpoint folder and read it from there, so that a lost executor
+    costs no recomputation of what came before."""
+    _folder(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut, as a Parquet table in the checkpoint folder: for tables of many rows, which take less room in columns."""
+    path = f"{_folder(df)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of what cut() or stored() has replaced and nothing refers to any more.
+
+    Its cleaner acts when the driver's JVM collects garbage, which an idle driver may not do for long. What a
+    finished query holds is given up by one collection, and what its plan held by a second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until df has no such column in any case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once a row however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
