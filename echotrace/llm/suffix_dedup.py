@@ -1,17 +1,21 @@
 """Suffix-array dedup: remove bytes that lie in a string of ``length`` bytes that starts anywhere else.
 
-1. Pieces. A window of ``length`` bytes is known by its minimizer, the least hash of its K-byte strings.
-   Neighbouring windows with one minimizer make a piece. Equal windows have equal minimizers, so only
-   pieces of one minimizer can share windows; the table of pieces holds hashes and places, no text.
+Passages that repeat may be shorter than what is worth removing. So the same run also finds the strings of
+``shared`` bytes (by default fifty words of five bytes) that start anywhere else; they are counted, not removed.
+
+1. Pieces. A window of ``shared`` bytes is known by its minimizer, the least hash of its K-byte strings.
+   Neighbouring windows with one minimizer make a piece, which reaches ``length`` bytes from its last window's
+   start, or to the end of the text. Equal strings have equal first windows and so equal minimizers: only
+   pieces of one minimizer can share strings; the table of pieces holds hashes and places, no text.
 2. Equal pieces are one class, counted before the shuffle; where a class has two members all their
    windows repeat. Only one member of a class goes on, and only if its minimizer has other classes or
    occurs twice in the piece itself.
 3. Suffix buckets. The pieces of a minimizer meet in a task, block by block. A block's suffixes are cut
-   to ``length`` bytes and sorted bucket by bucket (a bucket: one minimizer, one 8-byte prefix). Within
+   to ``shared`` bytes, and those that repeat again to ``length`` bytes, and sorted bucket by bucket (a bucket: one minimizer, one 8-byte prefix). Within
    a bucket a three-way quicksort compares suffixes with its pivot: first V bytes of text; then, as ties
    are long here, the precomputed rank of the difference-cover sample suffixes that both reach after
    the same shift; then the bytes that the ranks leave at the end. So a comparison costs a few words,
-   not ``length`` bytes, and memory is bounded by the block and one group of buckets. The cover {x mod V
+   not all bytes, and memory is bounded by the block and one group of buckets. The cover {x mod V
    in D} holds for any two positions a common shift below V. Suffixes that compare equal repeat.
    Memory of a task is bounded by ``hot_pieces``: a minimizer with more classes than that (only huge groups
    of near copies have so many) is left to an exact way for the rest, which compares 128-bit hashes of its
@@ -36,12 +40,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import runs, small_batches, texts
-from .common import cut, matched, table
+from .common import cut, matched, release, stored, table
 
-LENGTH, K, V = 400, 32, 31
+LENGTH, SHARED, K, V = 400, 250, 32, 31
 BLOCK_BYTES, HOT_PIECES = 2_000_000, 20_000
 NO_ID = -(2**63)  # stands for a null doc_id within the operator
-PIECES = "v bigint, p1 bigint, p2 bigint, doc bigint, tk bigint, start bigint, size bigint, again boolean"
+ONLY_SHARED, WHOLE = 0, 1  # kinds of repeats: of shared bytes, of length bytes
+PIECES = "v bigint, p bigint, doc bigint, tk bigint, start bigint, size int, windows int, again boolean"
+REPEATS = "doc bigint, tk bigint, start bigint, end bigint, kind int"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -88,37 +94,41 @@ def _minimizers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.minimum(after[:last], before[wide - 1 : wide - 1 + last])
 
 
-def pieces_of(text: bytes, length: int) -> list[tuple[int, int, int, int, int, bool]]:
-    """(minimizer, two hashes of the piece, start, size, whether the minimizer occurs again in it)."""
-    from xxhash import xxh3_128_digest
+def pieces_of(text: bytes, length: int, shared: int) -> list[tuple[int, int, int, int, int, bool]]:
+    """(minimizer, hash of the piece, start, size, windows, whether the minimizer occurs again in them).
+
+    Only pieces of one 64-bit minimizer are compared by the 64-bit hash, so equality stands on 128 bits."""
+    from xxhash import xxh3_64_digest
 
-    if len(text) < length:
+    if len(text) < shared:
         return []
     data = np.frombuffer(text, np.uint8)
-    h, least = _minimizers(data, length)
+    h, least = _minimizers(data, shared)
     starts = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
     ends = np.append(starts[1:], len(least))
     out = []
     for v, a, b in zip(least[starts].view(np.int64).tolist(), starts.tolist(), ends.tolist()):
-        digest = xxh3_128_digest(text[a : b + length - 1])
-        again = b - a > 1 and int(np.count_nonzero(h[a : b + length - K] == least[a])) > 1
-        out.append((v, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), a, b - a + length - 1, again))
+        piece = text[a : b - 1 + length]
+        again = b - a > 1 and int(np.count_nonzero(h[a : b + shared - K] == least[a])) > 1
+        out.append((v, int.from_bytes(xxh3_64_digest(piece), "little", signed=True), a, len(piece), b - a, again))
     return out
 
 
 class Block:
-    """Pieces of text whose repeated windows are found by suffix sorting; group: the piece's minimizer."""
+    """Pieces of text whose repeated windows of length bytes are found by suffix sorting.
+
+    group: each piece's minimizer; windows: how many start in it, by default all that fit."""
 
-    def __init__(self, parts: list[bytes], group: list[int], length: int = LENGTH):
+    def __init__(self, parts: list[bytes], group: list[int], length: int = LENGTH, windows: list[int] | None = None):
         self.length = length
         size = np.array([len(p) for p in parts])
-        self.first = np.concatenate(([0], np.cumsum(size)[:-1]))
+        self.first = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int32)  # a block has far fewer than 2^31 bytes
         self.data = np.frombuffer(b"".join(parts) + bytes(2 * length), np.uint8)
         self.word = _words(self.data)
-        windows = size - length + 1
-        self.piece = np.repeat(np.arange(len(parts)), windows)
-        self.start = np.repeat(self.first - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(windows.sum())
-        self.group = np.array(group)[self.piece]
+        windows = np.maximum(0, np.minimum(size - length + 1, size if windows is None else np.array(windows)))
+        self.piece = np.repeat(np.arange(len(parts), dtype=np.int32), windows)
+        self.start = np.repeat((self.first - np.concatenate(([0], np.cumsum(windows)[:-1]))).astype(np.int32), windows) + np.arange(windows.sum(), dtype=np.int32)
+        self.group = np.unique(np.array(group), return_inverse=True)[1].astype(np.int32)[self.piece]
         self.reach = (length - V + 1) // V * V  # bytes that a sample's rank covers
         self.rank = self._sample_ranks()
 
@@ -131,14 +141,14 @@ class Block:
         step = np.zeros(len(at), bool)
         for k in keys:
             step[1:] |= k[order][1:] != k[order][:-1]
-        rank = np.zeros(len(self.data), np.int64)
+        rank = np.zeros(len(self.data), np.int32)
         rank[at[order]] = np.cumsum(step) + 1
         have = V
         while have < self.reach:
             ahead = min(have, self.reach - have)
             far = at + ahead
             far[far >= len(rank)] = len(rank) - 1
-            pair = rank[at] * (len(at) + 2) + rank[far]
+            pair = rank[at].astype(np.int64) * (len(at) + 2) + rank[far]
             rank[at] = np.unique(pair, return_inverse=True)[1] + 1
             have += ahead
         return rank
@@ -164,13 +174,14 @@ class Block:
         settle(self.word[a[todo] + s].byteswap(), self.word[b[todo] + s].byteswap())
         return out
 
-    def repeated(self, most: int = 2_000_000) -> np.ndarray:
-        """Which windows have an equal one in the block."""
+    def repeated(self, among: np.ndarray | None = None, most: int = 2_000_000) -> np.ndarray:
+        """Which windows have an equal one in the block; among: the positions at which windows may, if known."""
         found = np.zeros(len(self.start), bool)
+        may = np.ones(len(self.start), bool) if among is None else among[self.start]
         bucket = self.word[self.start] * _M[0] >> np.uint64(40)
         rounds = max(1, len(self.start) // most)
         for turn in range(rounds):
-            mine = np.flatnonzero(bucket % np.uint64(rounds) == turn)
+            mine = np.flatnonzero((bucket % np.uint64(rounds) == turn) & may)
             order = mine[np.lexsort((self.word[self.start[mine]], self.group[mine]))]
             w, g = self.word[self.start[order]], self.group[order]
             new = np.concatenate(([True], (w[1:] != w[:-1]) | (g[1:] != g[:-1]))) if len(order) else np.zeros(0, bool)
@@ -205,28 +216,52 @@ class Block:
         return list(zip(p.tolist(), (self.start[lo] - self.first[p]).tolist(), (self.start[hi] - self.first[p] + self.length).tolist()))
 
 
-def _repeats(rows: DataFrame, length: int) -> DataFrame:
-    """(doc, tk, start, end) of repeated bytes, from pieces with their text, sorted by v in each partition."""
+def _solve(batch: list[tuple], length: int, shared: int) -> pa.RecordBatch | None:
+    """Repeats among pieces (v, doc, tk, start, n, windows, bytes)."""
+    out = []
 
-    def solve(batch: list[tuple]) -> pa.RecordBatch | None:
-        block = Block([r[5] for r in batch], [r[0] for r in batch], length)
-        out = [(batch[p][1], batch[p][2], batch[p][3] + a, batch[p][3] + b) for p, a, b in block.spans(block.repeated()) if batch[p][4] == 1]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc", "tk", "start", "end"]) if out else None
+    def note(block: Block, found: np.ndarray, pieces: list[tuple], kind: int) -> None:
+        out.extend((pieces[p][1], pieces[p][2], pieces[p][3] + a, pieces[p][3] + b, kind) for p, a, b in block.spans(found) if pieces[p][4] == 1)
+
+    windows = [r[5] for r in batch]
+    block = Block([r[6][: r[5] - 1 + shared] for r in batch], [r[0] for r in batch], shared, windows)
+    found = block.repeated()
+    note(block, found, batch, WHOLE if shared == length else ONLY_SHARED)
+    if shared < length and found.any():
+        # Only pieces with repeats go on, and only these windows; the first block is given up before the second is made.
+        flags = np.split(found, np.cumsum(windows)[:-1])
+        some = [p for p, f in enumerate(flags) if f.any()]
+        pieces = [batch[p] for p in some]
+        among = np.zeros(sum(len(r[6]) for r in pieces) + 2 * length, bool)
+        at = 0
+        for p, r in zip(some, pieces):
+            among[at : at + len(flags[p])] = flags[p]
+            at += len(r[6])
+        del block, found, flags
+        block = Block([r[6] for r in pieces], [r[0] for r in pieces], length, [r[5] for r in pieces])
+        note(block, block.repeated(among), pieces, WHOLE)
+    if not out:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.int32()) for i, c in enumerate(zip(*out))], ["doc", "tk", "start", "end", "kind"])
+
+
+def _repeats(rows: DataFrame, length: int, shared: int) -> DataFrame:
+    """REPEATS among pieces with their text, sorted by v in each partition."""
 
     def run(batches):
         held, size = [], 0
         for group in runs(batches, "v"):
             if held and size > BLOCK_BYTES:
-                if (out := solve(held)) is not None:
+                if (out := _solve(held, length, shared)) is not None:
                     yield out
                 held, size = [], 0
-            new = list(zip(*(group.column(c).to_pylist() for c in ("v", "doc", "tk", "start", "n", "bytes"))))
+            new = list(zip(*(group.column(c).to_pylist() for c in ("v", "doc", "tk", "start", "n", "windows", "bytes"))))
             held += new
-            size += sum(len(r[5]) for r in new)
-        if held and (out := solve(held)) is not None:
+            size += sum(len(r[6]) for r in new)
+        if held and (out := _solve(held, length, shared)) is not None:
             yield out
 
-    return rows.mapInArrow(run, "doc bigint, tk bigint, start bigint, end bigint")
+    return rows.mapInArrow(run, REPEATS)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -235,9 +270,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-def _window_repeats(keyed: DataFrame, reps: DataFrame, length: int) -> DataFrame:
-    """(doc, tk, start, end) of repeats among the pieces reps, by hashes of all their windows."""
-    lists = reps.groupBy("doc", "tk").agg(F.collect_list(F.struct("n", "start", "size")).alias("pieces"))
+def _window_repeats(keyed: DataFrame, reps: DataFrame, length: int, shared: int) -> DataFrame:
+    """REPEATS among the pieces reps, by hashes of all their windows."""
+    lists = reps.groupBy("doc", "tk").agg(F.collect_list(F.struct("n", "start", "windows")).alias("pieces"))
+    sizes = {ONLY_SHARED: shared, WHOLE: length} if shared < length else {WHOLE: length}
 
     def hash_all(batches):
         from xxhash import xxh3_128_digest
@@ -245,41 +281,53 @@ def _window_repeats(keyed: DataFrame, reps: DataFrame, length: int) -> DataFrame
         for b in batches:
             for doc, tk, text, pieces in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), b.column(3).to_pylist()):
                 for p in pieces:
-                    at = np.arange(p["start"], p["start"] + p["size"] - length + 1)
-                    h = np.frombuffer(b"".join(xxh3_128_digest(text[a : a + length]) for a in at.tolist()), np.int64).reshape(-1, 2)
-                    same = lambda x: pa.array(np.full(len(at), x, np.int64))  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), same(doc), same(tk), pa.array(at), same(p["n"])], ["h1", "h2", "doc", "tk", "start", "n"])
-
-    hashed = keyed.join(lists, ["doc", "tk"]).select("doc", "tk", "text", "pieces").mapInArrow(hash_all, "h1 bigint, h2 bigint, doc bigint, tk bigint, start bigint, n bigint")
+                    for kind, size in sizes.items():
+                        at = np.arange(p["start"], min(p["start"] + p["windows"], len(text) - size + 1))
+                        if not len(at):
+                            continue
+                        h = np.frombuffer(b"".join(xxh3_128_digest(text[a : a + size]) for a in at.tolist()), np.int64).reshape(-1, 2)
+                        same = lambda x: pa.array(np.full(len(at), x, np.int64))  # noqa: E731, B023
+                        yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), same(doc), same(tk), pa.array(at), same(p["n"]), same(kind)], ["h1", "h2", "doc", "tk", "start", "n", "kind"])
+
+    hashed = keyed.join(lists, ["doc", "tk"]).select("doc", "tk", "text", "pieces").mapInArrow(hash_all, "h1 bigint, h2 bigint, doc bigint, tk bigint, start bigint, n bigint, kind bigint")
     w = cut(hashed)
-    twice = cut(w.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1"))
-    at = matched(w.where("n = 1"), twice, ["h1", "h2"], "times").select("doc", "tk", "start").distinct()
-    island = F.col("start") - F.row_number().over(Window.partitionBy("doc", "tk").orderBy("start"))
-    return at.withColumn("island", island).groupBy("doc", "tk", "island").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("island")
-
-
-def repeats(keyed: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES) -> DataFrame:
-    """(doc, tk, start, end): byte ranges that repeats of length bytes cover, possibly overlapping."""
+    keys = ["h1", "h2", "kind"]
+    twice = cut(w.groupBy(*keys).agg(F.count("*").alias("times")).where("times > 1"))
+    at = matched(w.where("n = 1"), twice, keys, "times").select("doc", "tk", "start", "kind").distinct()
+    island = F.col("start") - F.row_number().over(Window.partitionBy("doc", "tk", "kind").orderBy("start"))
+    size = F.when(F.col("kind") == WHOLE, length).otherwise(shared)
+    found = at.withColumn("island", island).groupBy("doc", "tk", "kind", "island").agg(F.min("start").alias("start"), F.max("start").alias("last"))
+    return found.select("doc", "tk", "start", (F.col("last") + size).alias("end"), F.col("kind").cast("int").alias("kind"))
+
+
+def repeats(keyed: DataFrame, length: int = LENGTH, shared: int = SHARED, hot_pieces: int = HOT_PIECES) -> DataFrame:
+    """REPEATS: byte ranges that repeats of shared or of length bytes cover, possibly overlapping."""
+    assert K <= shared <= length
     spark = keyed.sparkSession
     small_batches(spark)
 
     def cut_up(batches):
         for b in batches:
-            out = [(*p[:3], doc, tk, *p[3:]) for doc, tk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b)) for p in pieces_of(t, length)]
+            out = [(*p[:2], doc, tk, *p[2:]) for doc, tk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b)) for p in pieces_of(t, length, shared)]
             if out:
-                kinds = [pa.int64()] * 7 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["v", "p1", "p2", "doc", "tk", "start", "size", "again"])
+                kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["v", "p", "doc", "tk", "start", "size", "windows", "again"])
 
-    pieces = cut(keyed.mapInArrow(cut_up, PIECES))
-    classes = cut(pieces.groupBy("v", "p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tk", "start", "size")).alias("one"), F.max("again").alias("again")))
-    keys = ["v", "p1", "p2"]
+    pieces = stored(keyed.mapInArrow(cut_up, PIECES))
+    classes = stored(pieces.groupBy("v", "p").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tk", "start", "windows")).alias("one"), F.max("again").alias("again")))
+    release(spark)
+    keys = ["v", "p"]
     copies = classes.where("n > 1").select(*keys, "n")
-    whole = matched(pieces, copies, keys, "n").select("doc", "tk", "start", (F.col("start") + F.col("size")).alias("end"))
+    range_ = lambda end, kind: F.struct(end.alias("end"), F.lit(kind).alias("kind"))
+    whole = F.when(F.col("size") >= length, range_(F.col("start") + F.col("size"), WHOLE))
+    short = range_(F.col("start") + F.col("windows") + (shared - 1), ONLY_SHARED)
+    both = F.array_compact(F.array(whole, short) if shared < length else F.array(whole))
+    copied = matched(pieces, copies, keys, "n").select("doc", "tk", "start", F.explode(both).alias("x")).select("doc", "tk", "start", "x.*")
 
-    shared = cut(classes.groupBy("v").agg(F.count("*").alias("kinds"), F.max("again").alias("self")).where("kinds > 1 or self").select("v", "kinds"))
+    shared_by = stored(classes.groupBy("v").agg(F.count("*").alias("kinds"), F.max("again").alias("self")).where("kinds > 1 or self").select("v", "kinds"))
     one = classes.select("v", "n", "one")
-    wanted = matched(one, shared.where(F.col("kinds") <= hot_pieces), ["v"], "kinds").select("one.*", "v", "n")
-    lists = wanted.groupBy("doc", "tk").agg(F.collect_list(F.struct("v", "n", "start", "size")).alias("pieces"))
+    wanted = matched(one, shared_by.where(F.col("kinds") <= hot_pieces), ["v"], "kinds").select("one.*", "v", "n")
+    lists = wanted.groupBy("doc", "tk").agg(F.collect_list(F.struct("v", "n", "start", "windows")).alias("pieces"))
 
     def fetch(batches):
         for b in batches:
@@ -287,47 +335,56 @@ def repeats(keyed: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES
             for doc, tk, text, pieces_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), b.column(3).to_pylist()):
                 done = set()
                 for p in pieces_:
-                    a, e = p["start"], p["start"] + p["size"]
-                    if (a, p["v"]) not in done:  # rows that repeat doc_id and text bring a piece twice
-                        done.add((a, p["v"]))
-                        out.append((p["v"], p["n"], doc, tk, a, text[a:e]))
+                    a = p["start"]
+                    if a not in done:  # rows that repeat doc_id and text bring a piece twice
+                        done.add(a)
+                        out.append((p["v"], p["n"], doc, tk, a, p["windows"], text[a : a + p["windows"] - 1 + length]))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["v", "n", "doc", "tk", "start", "bytes"])
+                kinds = [pa.int64()] * 6 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["v", "n", "doc", "tk", "start", "windows", "bytes"])
 
-    fetched = keyed.join(lists, ["doc", "tk"]).select("doc", "tk", "text", "pieces").mapInArrow(fetch, "v bigint, n bigint, doc bigint, tk bigint, start bigint, bytes binary")
+    fetched = keyed.join(lists, ["doc", "tk"]).select("doc", "tk", "text", "pieces").mapInArrow(fetch, "v bigint, n bigint, doc bigint, tk bigint, start bigint, windows bigint, bytes binary")
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    out = whole.unionByName(_repeats(fetched.repartition(count, "v").sortWithinPartitions("v"), length))
-    crowded = shared.where(F.col("kinds") > hot_pieces)
+    out = copied.unionByName(_repeats(fetched.repartition(count, "v").sortWithinPartitions("v"), length, shared))
+    crowded = shared_by.where(F.col("kinds") > hot_pieces)
     if crowded.take(1):
-        out = out.unionByName(_window_repeats(keyed, matched(one, crowded, ["v"], "kinds").select("one.*", "n"), length))
+        out = out.unionByName(_window_repeats(keyed, matched(one, crowded, ["v"], "kinds").select("one.*", "n"), length, shared))
     return out
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row."""
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, shared: int = SHARED, hot_pieces: int = HOT_PIECES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and n_shared for every row.
+
+    n_shared: the bytes, removed or not, that lie in a string of shared bytes that starts anywhere else."""
     keyed = _keyed(docs)
-    spans = repeats(keyed, length, hot_pieces).groupBy("doc", "tk").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = repeats(keyed, length, shared, hot_pieces).groupBy("doc", "tk").agg(F.collect_set(F.struct("start", "end", "kind")).alias("spans"))
 
     def remove(batches):
         for b in batches:
             out = []
             for doc, text, spans_ in zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist()):
-                merged: list[list[int]] = []
-                for s in sorted((s["start"], s["end"]) for s in spans_ or ()):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
+                merged = _merged([(s["start"], s["end"]) for s in spans_ or () if s["kind"] == WHOLE])
+                held = _merged([(s["start"], s["end"]) for s in spans_ or ()])
                 edges = [0, *(x for s in merged for x in s), len(text)]
                 kept = b"".join(text[a:e] for a, e in zip(edges[::2], edges[1::2]))
-                out.append((doc, len(text), len(text) - len(kept), len(merged), kept, sha256(kept).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                out.append((doc, len(text), len(text) - len(kept), len(merged), kept, sha256(kept).hexdigest(), sum(e - a for a, e in held)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "n_shared"])
 
     joined = keyed.join(spans, ["doc", "tk"], "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    return joined.mapInArrow(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string, n_shared bigint")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The contract's columns, then the bytes in repeats of SHARED bytes, which shorter passages fill too."""
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
