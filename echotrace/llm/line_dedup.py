@@ -7,10 +7,10 @@ lines share is summed before the shuffle; the HOT_KEYS keys of most documents ar
 their lines pass the join on a scattered key, while all other keys meet in it.
 
 Edge cases. A null or empty text has one empty line and keeps it. A document is a doc_id: where
-rows repeat a doc_id, the line counts once for that doc_id, and each row is reassembled by itself.
-A null doc_id is a document of its own that is smaller than all others. An empty table gives an
+rows repeat a doc_id, the line counts once for that doc_id, and each row is reassembled by itself, as
+positions belong to doc_id and text. A null doc_id is a document of its own that is smaller than all others. An empty table gives an
 empty result. Lines over the length bound of 20 code points and any number of ties are exact: keys
-are compared by 128 bits of hash. Other columns are ignored by ``dedup`` and kept by ``apply``.
+are compared by 128 bits of hash. Other columns, whatever their names, are ignored by ``dedup`` and kept by ``apply``.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, cut, let, table
+from .common import BLANKS, ascii_lower, cut, fresh, let, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -40,19 +40,19 @@ def _keys(lines: Column, min_chars: int) -> Column:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, drop): the sorted positions of the lines that each document loses, if any."""
-    lines = docs.select("doc_id", F.explode(_keys(F.split(_text(), "\n"), min_chars)).alias("k")).select("doc_id", "k.*")
+    """(doc_id, tk, drop): the sorted positions of the lines that each row of doc_id and text (known by its hash tk) loses, if any."""
+    lines = docs.select("doc_id", F.xxhash64(_text()).alias("tk"), F.explode(_keys(F.split(_text(), "\n"), min_chars)).alias("k")).select("doc_id", "tk", "k.*")
     # Distinct within the row before the explode would miss rows that repeat a doc_id, so pairs are made distinct by Spark.
     held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("last"))
     frequent = cut(held.where(F.col("n") >= min_docs))
     hot = frequent.orderBy(F.desc("n"), "h1", "h2").limit(HOT_KEYS).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("last").alias("hot_last"), F.lit(True).alias("hot"))
     rest = frequent.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("last").alias("rest_last"), F.lit(True).alias("found"))
     lines = lines.join(F.broadcast(hot), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
-    lines = lines.withColumn("k", F.when(F.col("hot"), F.xxhash64("doc_id", "pos")).otherwise(F.col("h1")))
+    lines = lines.withColumn("k", F.when(F.col("hot"), F.xxhash64("doc_id", "tk", "pos")).otherwise(F.col("h1")))
     met = lines.join(rest, (F.col("k") == F.col("f1")) & (F.col("h2") == F.col("f2")) & F.col("hot").isNull(), "left")
     last = F.when(F.col("hot"), F.col("hot_last")).otherwise(F.col("rest_last"))
     lost = met.where((F.col("hot") | F.col("found")) & ~F.col("doc_id").eqNullSafe(last))
-    return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    return lost.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
 def _kept_text(text: Column, drop: Column) -> Column:
@@ -63,19 +63,27 @@ def _kept_text(text: Column, drop: Column) -> Column:
     return F.when(drop.isNull(), text).otherwise(let(F.split(text, "\n"), join))
 
 
+def _reassembled(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, str]:
+    """docs with what is left of text, and a column (its name) of the positions dropped, or null."""
+    doc, tk, drop, key = fresh(docs, "__doc", "__tk", "__drop", "__key")
+    drops = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias(doc), F.col("tk").alias(tk), F.col("drop").alias(drop))
+    keyed = docs.withColumn(key, F.xxhash64(_text()))
+    joined = keyed.join(drops, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(tk)), "left").drop(doc, tk, key)
+    return joined.withColumn("text", _kept_text(_text(), F.col(drop))), drop
+
+
 def apply(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with text replaced by what is left of it, and __drop (array of positions, or null) beside it."""
-    drops = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
-    return joined.withColumn("text", _kept_text(_text(), F.col("__drop")))
+    """docs, all columns, with text replaced by what is left of it."""
+    out, drop = _reassembled(docs, min_chars, min_docs)
+    return out.drop(drop)
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (kept lines) for every row."""
     d = docs.select("doc_id", _text().alias("text"))
     d = d.withColumn("n_lines", F.char_length("text") - F.char_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
-    out = apply(d, min_chars, min_docs)
-    return out.select("doc_id", F.col("n_lines").cast("long"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"), "text")
+    out, drop = _reassembled(d, min_chars, min_docs)
+    return out.select("doc_id", F.col("n_lines").cast("long"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"), "text")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
