@@ -4,10 +4,10 @@ One narrow pass finds candidate spans in every whole text. Three labelers then v
 for (1), against (-1) or not at all (0): a regex labeler judges its form and checksum, a gazetteer
 labeler looks up its parts in lists, a context labeler looks for words before it. Vote patterns are
 counted by Spark; their number is bounded by kinds x 3^3. From these counts expectation-maximisation
-estimates each kind's prior and each labeler's reliability (a two-class Dawid-Skene model), which
-gives each pattern the probability that its spans are real. With these as soft labels a logistic
-span classifier is trained on the counts of feature patterns (again bounded), and its score is one
-more Spark expression. Candidates of the base kinds are spans whatever it says, as the contract has
+estimates each kind's prior and, for each kind by itself, each labeler's reliability (a two-class Dawid-Skene
+model), which gives each pattern the probability that its spans are real. A labeler may turn out useless for a
+kind, but its votes never change their meaning. With these as soft labels a logistic span classifier is trained
+on the counts of feature patterns (again bounded; all kinds weigh the same), and its score is one more Spark expression. Candidates of the base kinds are spans whatever it says, as the contract has
 it; others are spans if their probability is half or more.
 
 Edge cases. A null or empty text has no spans. Repeated rows are judged each. An empty table gives an
@@ -41,10 +41,14 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 CONTEXT_CHARS = 40
+SOME = 512
 
 #: Endings and codes that addresses and numbers have, and words that announce them.
 TOP_DOMAINS = "com org net edu gov mil int info biz io co de fr es uk it nl eu us ca au ch at be pt br mx ar jp cn in ru se no fi dk pl".split()
 CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+KEY_PREFIXES = "ghp_ gho_ github_pat_ glpat- sk- sk_live_ pk_live_ AKIA ASIA xoxb- xoxp- AIza eyJ".split()
+PLACEHOLDERS = "example changeme placeholder your_ dummy xxxx 12345678 password".split()
+SAMPLE_SSNS = "078-05-1120 219-09-9999 123-45-6789 987-65-4320 987-65-4329".split()
 IBAN_COUNTRIES = "AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MT NL NO PL PT RO SE SI SK".split()
 CONTEXT_WORDS = {
     "email": "mail e-mail email contact write address contacto correo kontakt adresse courriel",
@@ -60,7 +64,8 @@ CONTEXT_WORDS = {
 def _scan(text: Column, kind: str) -> Column:
     """The kind's leftmost non-overlapping matches as structs, with what stands before each."""
     hint, pattern = PATTERNS[kind]
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,text:string,before:string>>")
+    spans = "array<struct<kind:string,start:bigint,end:bigint,text:string,before:string>>"
+    empty = F.array().cast(spans)
     whole = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
     pairs = F.arrays_zip(F.regexp_extract_all(text, whole, F.lit(1)).alias("gap"), F.regexp_extract_all(text, whole, F.lit(2)).alias("hit"))
 
@@ -68,10 +73,12 @@ def _scan(text: Column, kind: str) -> Column:
         start = acc["at"] + F.char_length(p["gap"])
         end = start + F.char_length(p["hit"])
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["hit"].alias("text"), F.substring(p["gap"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"))
-        return F.struct(end.alias("at"), F.when(p["hit"] == "", acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+        full = F.size(acc["some"]) >= SOME  # spans are gathered in two levels, as each array is copied when it grows
+        more = F.struct(end.alias("at"), F.when(full, F.array(span)).otherwise(F.concat(acc["some"], F.array(span))).alias("some"), F.when(full, F.concat(acc["all"], F.array(acc["some"]))).otherwise(acc["all"]).alias("all"))
+        return F.when(p["hit"] == "", acc).otherwise(more)
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans"))
-    found = F.aggregate(pairs, start, step, lambda a: a["spans"])
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("some"), F.array().cast(f"array<{spans}>").alias("all"))
+    found = F.aggregate(pairs, start, step, lambda a: F.flatten(F.concat(a["all"], F.array(a["some"]))))
     return F.when(text.rlike(hint), F.filter(found, _passes[kind])).otherwise(empty)
 
 
@@ -116,6 +123,11 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
+def _has_any(value: Column, starts: list[str]) -> Column:
+    """Whether a value after : or = begins with one of starts."""
+    return value.rlike(rf"""[:=][\x20"']*(?:{'|'.join(starts)})""")
+
+
 def votes(s: Column) -> dict[str, Column]:
     """The labelers' votes on a candidate."""
     kind, text, digits = s["kind"], s["text"], _digits(s["text"])
@@ -134,6 +146,8 @@ def votes(s: Column) -> dict[str, Column]:
         "ip": _vote(~text.rlike(r"^(?:0|127|255)\."), text.rlike(r"^(?:0|127|255)\.")),
         "card": _vote(digits.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"), digits.rlike(r"^[0178]")),
         "phone": _vote(digits.rlike(rf"^(?:{'|'.join(CALLING_CODES)})"), digits.rlike(r"^0")),
+        "secret": _vote(_has_any(text, KEY_PREFIXES), _has_any(F.lower(text), PLACEHOLDERS)),
+        "ssn": _vote(F.substring(text, 1, 3).cast("int").between(1, 772) & ~text.isin(SAMPLE_SSNS), text.isin(SAMPLE_SSNS)),
         "iban": _vote(F.substring(text, 1, 2).isin(IBAN_COUNTRIES), ~F.substring(text, 1, 2).isin(IBAN_COUNTRIES)),
     })
     context = by({k: _vote(_has_word(F.concat(s["before"], F.when(kind == "secret", text).otherwise("")), w), F.lit(False)) for k, w in CONTEXT_WORDS.items()})
@@ -160,45 +174,55 @@ def features(s: Column) -> dict[str, Column]:
 FEATURES = ("long", "mixed", "quoted", "spaced", "cue", "edge")
 
 
+#: What a labeler is taken to vote on unreal (0) and real (1) candidates before it is seen, and for how many candidates that stands.
+TRUST = {0: {1: 0.2, 0: 0.3, -1: 0.5}, 1: {1: 0.6, 0: 0.3, -1: 0.1}}
+TRUST_COUNT = 4.0
+
+
 def fit_em(counts: dict[tuple, int], rounds: int = 50) -> tuple[dict[tuple, float], dict]:
     """The probability that spans of each (kind, vote, vote, vote) are real, and the model.
 
-    The two-class model: a kind has a prior, and a labeler, for each class, a distribution over its
-    three votes. Starting values trust the labelers; counts of one keep estimates off 0 and 1.
+    The two-class model: a kind has a prior, and for each kind a labeler has, for each class, a distribution
+    over its three votes. A labeler whose votes for would speak against, or the other way round, is useless for
+    the kind: both classes get one distribution.
     """
-    kinds = sorted({p[0] for p in counts})
-    prior = {k: 0.5 for k in kinds}
-    table = {(l, c): {1: 0.6 if c else 0.2, 0: 0.3, -1: 0.1 if c else 0.5} for l in range(len(LABELERS)) for c in (0, 1)}
     real: dict[tuple, float] = {}
-    for _ in range(rounds):
-        for p in counts:
-            yes, no = prior[p[0]], 1 - prior[p[0]]
-            for l, v in enumerate(p[1:]):
-                yes *= table[l, 1][v]
-                no *= table[l, 0][v]
-            real[p] = yes / (yes + no)
-        for k in kinds:
-            n = sum(c for p, c in counts.items() if p[0] == k)
-            prior[k] = (1 + sum(c * real[p] for p, c in counts.items() if p[0] == k)) / (n + 2)
-        for l in range(len(LABELERS)):
-            for c in (0, 1):
-                share = {v: 1.0 for v in (1, 0, -1)}
-                for p, n in counts.items():
-                    share[p[1 + l]] += n * (real[p] if c else 1 - real[p])
-                total = sum(share.values())
-                table[l, c] = {v: x / total for v, x in share.items()}
-    return real, {"prior": prior, "votes": table}
+    model: dict = {"prior": {}, "votes": {}}
+    for kind in sorted({p[0] for p in counts}):
+        mine = {p: n for p, n in counts.items() if p[0] == kind}
+        total, prior = sum(mine.values()), 0.5
+        table = {(l, c): dict(TRUST[c]) for l in range(len(LABELERS)) for c in (0, 1)}
+        for _ in range(rounds):
+            for p in mine:
+                yes, no = prior, 1 - prior
+                for l, v in enumerate(p[1:]):
+                    yes *= table[l, 1][v]
+                    no *= table[l, 0][v]
+                real[p] = yes / (yes + no)
+            prior = (1 + sum(n * real[p] for p, n in mine.items())) / (total + 2)
+            for l in range(len(LABELERS)):
+                seen = {c: {v: TRUST_COUNT * TRUST[c][v] for v in (1, 0, -1)} for c in (0, 1)}
+                for p, n in mine.items():
+                    seen[1][p[1 + l]] += n * real[p]
+                    seen[0][p[1 + l]] += n * (1 - real[p])
+                table[l, 0], table[l, 1] = ({v: x / sum(seen[c].values()) for v, x in seen[c].items()} for c in (0, 1))
+                if table[l, 1][1] < table[l, 0][1] or table[l, 1][-1] > table[l, 0][-1]:
+                    both = {v: seen[0][v] + seen[1][v] for v in (1, 0, -1)}
+                    table[l, 0] = table[l, 1] = {v: x / sum(both.values()) for v, x in both.items()}
+        model["prior"][kind] = prior
+        model["votes"] |= {(kind, *k): v for k, v in table.items()}
+    return real, model
 
 
 def fit_classifier(rows: list[tuple[str, tuple[int, ...], float, int]], rounds: int = 300, rate: float = 1.0) -> dict[str, float]:
-    """Weights of a logistic model from (kind, features, probability, count); one intercept a kind."""
+    """Weights of a logistic model from (kind, features, probability, count); one intercept a kind, and each kind weighs the same."""
     weight = {f"kind:{k}": 0.0 for k in KINDS} | {f: 0.0 for f in FEATURES}
-    total = sum(n for *_, n in rows)
-    for _ in range(rounds if total else 0):
+    of_kind = {k: sum(n for kind, *_, n in rows if kind == k) for k in {r[0] for r in rows}}
+    for _ in range(rounds if of_kind else 0):
         slope = {k: 1e-3 * w for k, w in weight.items()}
         for kind, flags, p, n in rows:
             z = weight[f"kind:{kind}"] + sum(weight[f] for f, on in zip(FEATURES, flags) if on)
-            miss = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p) * n / total
+            miss = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p) * n / of_kind[kind] / len(of_kind)
             slope[f"kind:{kind}"] += miss
             for f, on in zip(FEATURES, flags):
                 if on:
@@ -254,7 +278,9 @@ def _listed(spans: Column) -> Column:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then how many spans the method adds, by kind, and how many there are in all."""
     d = find(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = _listed(F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS)))
-    return d.select("doc_id", *(n(k) for k in BASE_KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    added = [n(k) for k in KINDS if k not in BASE_KINDS]
+    return d.select("doc_id", *(n(k) for k in BASE_KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), *added, F.size("spans").cast("long").alias("n_spans"))
