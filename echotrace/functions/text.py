@@ -108,11 +108,12 @@ def ngrams(words: Column, least: int = 3, most: int = 5) -> Column:
     """All n-grams of words for n from least to most, in order of n and place."""
     none = F.array().cast("array<string>")
 
-    def of(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.size(words) - n + 1)
-        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(none)
+    def of(w: Column, n: int) -> Column:
+        places = F.sequence(F.lit(0), F.size(w) - n)
+        return F.when(F.size(w) >= n, F.transform(places, lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(n))))).otherwise(none)
 
-    return F.concat(*(of(n) for n in range(least, most + 1)))
+    # Within transform the words are evaluated once a row, not once a gram.
+    return F.get(F.transform(F.array(words), lambda w: F.concat(*(of(w, n) for n in range(least, most + 1)))), F.lit(0))
 
 
 def char_ngrams(text: Column, least: int = 3, most: int = 5) -> Column:

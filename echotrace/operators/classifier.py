@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_pair_text, simple_tokens
 from . import pair_features as pf
 from . import sampling
+from .storing import kept
 
 
 def hashed_vector(text: Column, size: int = 32) -> Column:
@@ -42,6 +43,11 @@ class TextPairClassifier:
     def __init__(self, rounds: int = 50, seed: int = 42, encode: Callable[[Column], Column] = hashed_vector):
         self.rounds, self.seed, self.encode, self.model = rounds, seed, encode, None
 
+    @staticmethod
+    def _with_ids(rows: DataFrame) -> DataFrame:
+        """rows with pair_id; numbers that Spark deals out are kept before anything is joined by them."""
+        return rows if "pair_id" in rows.columns else kept(rows.withColumn("pair_id", F.monotonically_increasing_id()))
+
     def _pairs(self, rows: DataFrame) -> DataFrame:
         return rows.select("pair_id", F.coalesce("snippet_norm", F.lit("")).alias("s"), F.coalesce("verse_norm", F.lit("")).alias("v"))
 
@@ -56,15 +62,16 @@ class TextPairClassifier:
         return VectorAssembler(inputCols=list(pf.FEATURES), outputCol="features").transform(x)
 
     def fit(self, rows: DataFrame) -> TextPairClassifier:
-        rows = rows if "pair_id" in rows.columns else rows.withColumn("pair_id", F.monotonically_increasing_id())
-        rows = sampling.balance(rows, "match", "pair_id", seed=self.seed).persist()
+        rows = kept(sampling.balance(self._with_ids(rows), "match", "pair_id", seed=self.seed))
         p = self._pairs(rows)
-        self.idf_char, self.idf_word = pf.tfidf_fit(p, pf.char_grams).persist(), pf.tfidf_fit(p, pf.word_grams).persist()
-        self.df, self.size = pf.term_documents(p, "v").persist(), pf.corpus_size(p, "v").persist()
-        x = sampling.split(self.features(rows), "match", "pair_id", seed=self.seed).persist()
+        self.idf_char, self.idf_word = kept(pf.tfidf_fit(p, pf.char_grams)), kept(pf.tfidf_fit(p, pf.word_grams))
+        self.df, self.size = kept(pf.term_documents(p, "v")), kept(pf.corpus_size(p, "v"))
+        x = kept(sampling.split(self.features(rows), "match", "pair_id", seed=self.seed))
         gbt = GBTClassifier(labelCol="match", maxIter=self.rounds, stepSize=0.05, maxDepth=6, minInstancesPerNode=20, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=self.seed)
         self.model = gbt.fit(x.where("not is_test"))
-        self.validation = sampling.scores(self._score(x.where("is_test")), "match", "match_proba")
+        judged = kept(self._score(x.where("is_test")))
+        self.validation = sampling.scores(judged, "match", "match_proba")
+        self.ranking = sampling.ranking_scores(judged, "match", "match_proba")
         return self
 
     def _score(self, features: DataFrame) -> DataFrame:
@@ -74,5 +81,5 @@ class TextPairClassifier:
         """rows with match_proba and match_label."""
         if self.model is None:
             raise RuntimeError("fit the model first")
-        rows = rows if "pair_id" in rows.columns else rows.withColumn("pair_id", F.monotonically_increasing_id())
+        rows = self._with_ids(rows)
         return self._score(self.features(rows)).withColumn("match_label", (F.col("match_proba") >= threshold).cast("int"))

@@ -1,19 +1,21 @@
 """Top-k passages for each window: a TF-IDF n-gram similarity join.
 
 The corpus of the weights is passages and windows; a gram counts once for each window that holds it.
-Windows are never spelt out. A document gives one row for each place and n of a gram (hashed); a
-join with the passages' grams (Spark broadcasts them if they are small) finds the places that matter, and
-arithmetic gives the windows that cover them. Only those windows need norms, so only grams inside them
-and those of the passages need a document frequency, which a second narrow pass counts.
+Windows are never spelt out. Texts are cut into words once, and the words kept. A document gives one row for
+each place and n of a gram (hashed); a join with the passages' grams (Spark broadcasts them if they are small)
+finds the places that matter, and arithmetic gives the windows that cover them. Only those windows need norms,
+so only grams inside them and those of the passages need a document frequency. The windows that hold a gram
+are runs of numbers, one for each of its places in order; how many there are follows from where each run
+goes past the one before, so a gram's place is one row there too, not one for each window.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import INNER_WORD, words_of
+from .storing import kept
 from .windows import last_window
 
 
@@ -23,10 +25,14 @@ def _inner_words(normal: Column) -> Column:
     return F.flatten(inner)
 
 
-def positional_grams(texts: DataFrame, key: str, least: int, most: int) -> DataFrame:
-    """(key, tokens, gram, a, b): every n-gram's hash with the places of its first and last token."""
+def inner_words(texts: DataFrame, key: str) -> DataFrame:
+    """(key, tokens, w, p): how many tokens a text has, and its inner words with the places of their tokens."""
     t = texts.select(F.col(key), F.size(words_of(F.col("text_norm"))).alias("tokens"), _inner_words(F.col("text_norm")).alias("w"))
-    t = t.select(key, "tokens", F.transform("w", lambda x: x["word"]).alias("w"), F.transform("w", lambda x: x["at"]).alias("p"))
+    return t.select(key, "tokens", F.transform("w", lambda x: x["word"]).alias("w"), F.transform("w", lambda x: x["at"]).alias("p"))
+
+
+def positional_grams(t: DataFrame, key: str, least: int, most: int) -> DataFrame:
+    """(key, tokens, gram, a, b): every n-gram's hash with the places of its first and last token. t: inner_words()."""
 
     def of(n: int) -> Column:
         none = F.array().cast("array<struct<gram:bigint,a:int,b:int>>")
@@ -37,12 +43,24 @@ def positional_grams(texts: DataFrame, key: str, least: int, most: int) -> DataF
     return t.select(key, "tokens", g.alias("g")).select(key, "tokens", "g.*")
 
 
-def _covering(grams: DataFrame, length: int, stride: int) -> DataFrame:
-    """A row for each window (its number k) that covers a gram's place."""
+def _ranges(grams: DataFrame, length: int, stride: int) -> DataFrame:
+    """grams with low and high, the first and the last window that cover the gram's place; without those that none covers."""
     last = last_window(F.col("tokens"), length, stride)
     low = F.greatest(F.lit(0), F.ceil((F.col("b") + 1 - length) / stride)).cast("int")
     high = F.least(F.floor(F.col("a") / stride).cast("int"), last)
-    return grams.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("k", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    return grams.withColumn("low", low).withColumn("high", high).where("low <= high")
+
+
+def _covering(grams: DataFrame, length: int, stride: int) -> DataFrame:
+    """A row for each window (its number k) that covers a gram's place."""
+    return _ranges(grams, length, stride).withColumn("k", F.explode(F.sequence("low", "high"))).drop("low", "high")
+
+
+def _windows_with(grams: DataFrame, length: int, stride: int) -> DataFrame:
+    """(gram, n): in how many windows each gram is."""
+    before = F.lag("high", 1, -1).over(Window.partitionBy("doc_id", "gram").orderBy("a"))
+    r = _ranges(grams, length, stride).select("doc_id", "gram", "a", "low", "high").withColumn("before", before)
+    return r.groupBy("gram").agg(F.sum(F.greatest(F.lit(0), F.col("high") - F.greatest("low", F.col("before") + 1) + 1)).alias("n"))
 
 
 def _weight(tf: Column, df: Column, corpus: Column) -> Column:
@@ -56,20 +74,21 @@ def candidates(docs: DataFrame, passages: DataFrame, length: int = 30, stride: i
     """
     if length <= 0 or stride <= 0:
         raise ValueError("length and stride must be positive")
-    in_passages = positional_grams(passages, "verse_id", least, most).groupBy("verse_id", "gram").agg(F.count("*").alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
-    places = positional_grams(docs, "doc_id", least, most)
+    in_passages = kept(positional_grams(inner_words(passages, "verse_id"), "verse_id", least, most).groupBy("verse_id", "gram").agg(F.count("*").alias("tf")))
+    words = kept(inner_words(docs, "doc_id"))
+    places = positional_grams(words, "doc_id", least, most)
     known = in_passages.select("gram").distinct()
-    hits = _covering(places.join(known, "gram", "left_semi"), length, stride).select("doc_id", "k").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    hits = kept(_covering(places.join(known, "gram", "left_semi"), length, stride).select("doc_id", "k").distinct())
 
     # Grams of the windows that have hits, from their documents only.
-    touched = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    touched = words.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     inside = _covering(positional_grams(touched, "doc_id", least, most), length, stride).join(hits, ["doc_id", "k"])
-    tf = inside.groupBy("doc_id", "k", "tokens", "gram").agg(F.count("*").alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
+    tf = kept(inside.groupBy("doc_id", "k", "tokens", "gram").agg(F.count("*").alias("tf")))
 
     wanted = tf.select("gram").union(in_passages.select("gram")).distinct()
-    in_windows = _covering(places.join(wanted, "gram", "left_semi"), length, stride).groupBy("doc_id", "k", "gram").agg(F.lit(1).alias("one"))
-    counts = in_windows.select("gram").union(in_passages.select("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    n = docs.select(F.size(words_of(F.col("text_norm"))).alias("tokens")).where("tokens > 0")
+    in_windows = _windows_with(places.join(wanted, "gram", "left_semi"), length, stride)
+    counts = kept(in_windows.union(in_passages.select("gram", F.lit(1).alias("n"))).groupBy("gram").agg(F.sum("n").alias("df")))
+    n = words.select("tokens").where("tokens > 0")
     every = F.when(F.col("tokens") > 0, last_window(F.col("tokens"), length, stride) + 1)
     full = F.floor((F.col("tokens") - 1) / stride) + 1  # windows that start inside the text
     size = n.agg(F.coalesce(F.sum(F.least(every, full)), F.lit(0)).alias("x")).crossJoin(passages.agg(F.count("*").alias("y"))).select((F.col("x") + F.col("y")).alias("corpus"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import pair_features as pf
 from ..operators import retrieval, sampling, spans, windows
+from ..operators.storing import kept
 from ..sources import pages as pg
 from . import matching
 
@@ -43,9 +44,10 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
     return matching.index_passages(b.select(F.lit("book").alias("book"), F.lit(1).alias("chapter"), F.col("item_id").cast("int").alias("verse"), F.concat(F.lit("book 1:"), F.col("item_id")).alias("ref"), "text"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring turns in the classifier's form, with everything beyond ASCII as a question mark."""
-    c = _table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(tx.normalize_pair_text(F.col("text")), "[^ -~]", "?").alias("x"))
+def _pairs(spark: SparkSession, d: str, ascii: bool = False) -> DataFrame:
+    """Neighbouring turns in the classifier's form; ascii: with everything beyond ASCII as a question mark."""
+    text = tx.normalize_pair_text(F.col("text"))
+    c = _table(spark, d, "conversations").select("conv_id", "turn", (F.regexp_replace(text, "[^ -~]", "?") if ascii else text).alias("x"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("v"))
     return c.join(nxt, ["conv_id", "turn"]).select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), F.col("x").alias("s"), "v")
 
@@ -105,6 +107,24 @@ def merged_spans(spark, d):
     return m.select("doc_id", "verse_id", F.col("start_token").cast("long"), F.col("end_token").cast("long"), F.round("score_max", 6).alias("score_max"))
 
 
+_Q = _S + """,
+f AS (SELECT sp.*, d.w[start_token + 1:end_token] AS sw, string_split(v.t, ' ') AS vw, v.ref FROM sp JOIN d USING (doc_id) JOIN v USING (verse_id)),
+fg AS (SELECT *, list_distinct(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, len(sw) - n + 2), lambda i: array_to_string(sw[i:i + n - 1], ' '))))) AS sg,
+  list_distinct(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, len(vw) - n + 2), lambda i: array_to_string(vw[i:i + n - 1], ' '))))) AS vg FROM f),
+cv AS (SELECT *, len(list_intersect(sg, vg)) / greatest(1, len(vg)) AS cov_ngram FROM fg),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, verse_id ORDER BY score_max DESC, start_token) AS one FROM cv WHERE cov_ngram >= 0.55) WHERE one = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score_max DESC, verse_id) AS rank_in_doc FROM b)"""
+
+
+@query(f"WITH {_Q} SELECT doc_id, verse_id, ref, start_token, end_token, round(score_max, 6) AS score_max, round(cov_ngram, 6) AS cov_ngram, md5(array_to_string(sw, ' ')) AS snippet_md5, rank_in_doc FROM rk WHERE rank_in_doc <= 10")
+def covered_quotations(spark, d):
+    """Quotations kept by coverage alone: the best span of each document and passage, and the ten best of each document."""
+    docs, passages = kept(_docs(spark, d)), _passages(spark, d)
+    s = spans.add_features(spans.merge_spans(retrieval.candidates(docs, passages)), docs, passages)
+    ranked = spans.rank_in_document(spans.best_per_passage(spans.keep_aligned(s, min_lcs=2.0))).where("rank_in_doc <= 10")
+    return ranked.select("doc_id", "verse_id", "ref", F.col("start_token").cast("long"), F.col("end_token").cast("long"), F.round("score_max", 6).alias("score_max"), F.round("cov_ngram", 6).alias("cov_ngram"), F.md5(F.col("snippet_norm").cast("binary")).alias("snippet_md5"), F.col("rank_in_doc").cast("long"))
+
+
 @query()
 def quotations(spark, d):
     """Flagship: documents' best quotations with places and strength."""
@@ -122,17 +142,21 @@ def corpus_size(spark, d):
     return pf.corpus_size(_table(spark, d, "documents"), "text").select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
-_P = r"""c AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(translate(lower(coalesce(text, '')), '“”‘’', repeat(chr(34), 2) || repeat(chr(39), 2)), '\s+', ' ', 'g')), '[^ -~]', '?', 'g') AS x FROM conversations),
+_P = r"""c AS (SELECT conv_id, turn, trim(regexp_replace(translate(lower(coalesce(text, '')), '“”‘’', repeat(chr(34), 2) || repeat(chr(39), 2)), '\s+', ' ', 'g')) AS x FROM conversations),
 p AS (SELECT a.conv_id || ':' || a.turn AS pair_id, a.x AS s, b.x AS v FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 q AS (SELECT *, regexp_extract_all(s, '[a-z0-9'']+') AS a, regexp_extract_all(v, '[a-z0-9'']+') AS b FROM p)"""
 
 
-@query(rf"""WITH {_P}, r AS (SELECT *, len(list_intersect(list_distinct(a), list_distinct(b))) AS n, greatest(length(s), length(v)) AS m FROM q)
+#: DuckDB's levenshtein counts bytes, so the edit distance is compared on ASCII; all other pair features on the texts as they are.
+_PA = _P.replace("AS x FROM conversations", "AS x0 FROM conversations").replace("p AS (SELECT a.conv_id", "ca AS (SELECT conv_id, turn, regexp_replace(x0, '[^ -~]', '?', 'g') AS x FROM c),\np AS (SELECT a.conv_id").replace("FROM c a JOIN c b", "FROM ca a JOIN ca b")
+
+
+@query(rf"""WITH {_PA}, r AS (SELECT *, len(list_intersect(list_distinct(a), list_distinct(b))) AS n, greatest(length(s), length(v)) AS m FROM q)
 SELECT pair_id, round(n / greatest(1, len(list_distinct(list_concat(a, b)))), 6) AS tok_jaccard, round(n / greatest(1, len(list_distinct(a))), 6) AS tok_contain_snip_in_verse,
   round(n / greatest(1, len(list_distinct(b))), 6) AS tok_contain_verse_in_snip, round(CASE WHEN m = 0 THEN 1.0 ELSE least(length(s), length(v)) / m END, 6) AS len_ratio,
   round(CASE WHEN m = 0 THEN 1.0 ELSE 1 - levenshtein(s, v) / m END, 6) AS char_lev_norm FROM r""")
 def lexical_pairs(spark, d):
-    x = pf.lexical(_pairs(spark, d), sort_ratio=False)
+    x = pf.lexical(_pairs(spark, d, ascii=True), sort_ratio=False)
     return x.select("pair_id", *(F.round(c, 6).alias(c) for c in x.columns[1:]))
 
 
@@ -204,6 +228,14 @@ def threshold_scores(spark, d):
     return s.select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "positives")
 
 
+@query("""WITH s AS (SELECT l_extendedprice AS p, count(*) FILTER (WHERE l_returnflag = 'R') AS pos, count(*) FILTER (WHERE l_returnflag <> 'R') AS neg FROM lineitem GROUP BY 1),
+t AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM s)
+SELECT round(sum(neg * (tp - pos / 2)) / sum(pos) / sum(neg), 6) AS auc, round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS average_precision FROM t""")
+def ranking_scores(spark, d):
+    rows = _table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), "l_extendedprice")
+    return sampling.ranking_scores(rows, "y", "l_extendedprice").select(F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"))
+
+
 @query("""SELECT count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS p25,
   round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max FROM events""")
 def describe_values(spark, d):

@@ -27,7 +27,7 @@ def read_rows(spark: SparkSession, folder: str, form: str = "parquet", schema: s
 
 
 def first_of_each_url(rows: DataFrame, time: str | None = None, horizon: str = "30 days") -> DataFrame:
-    """Each url's first row; with a time column, urls are forgotten after horizon."""
+    """A row of each url, the one that Spark meets first (of rows in one micro-batch, any); with a time column, urls are forgotten after horizon."""
     if time is None:
         return rows.dropDuplicates(["url"])
     return rows.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["url"])
