@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import small_batches, texts
-from .common import table
+from .common import fresh, table
 
 Q, EDIT_RATE, BLOCK_CHARS, RUN_CHARS = 8, 0.1, 4_000_000, 400_000
 SCHEMA = "doc_id bigint, item_id bigint, edits int, item_chars int, start_word bigint, end_word bigint"
@@ -235,8 +235,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no item; rows without a doc_id are kept."""
-    leaks = matches(docs, benchmark, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("__leak"), "left_anti")
+    leak = fresh(docs, "__leak")[0]
+    leaks = matches(docs, benchmark, **options).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, F.col("doc_id") == F.col(leak), "left_anti")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

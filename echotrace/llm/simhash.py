@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import runs, small_batches, texts
-from .common import cut, parts_for, table
+from .common import cut, fresh, parts_for, table
 from .components import components
 
 SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 5
@@ -203,8 +203,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay."""
     found = near_duplicates(docs, **options)
-    first = found.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c").select(F.col("doc_id").alias("__gone"))
-    return docs.join(first, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = fresh(docs, "__gone")[0]
+    first = found.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c").select(F.col("doc_id").alias(gone))
+    return docs.join(first, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
