@@ -46,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Like cut, as a Parquet table in the checkpoint folder: for tables of many rows, which take less room in columns."""
     path = f"{_folder(df)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
