@@ -65,6 +65,37 @@ def test_line_dedup(spark):
     assert got == {1: (3, 1, "a\nb"), 2: (2, 1, ""), 3: (1, 1, ""), 4: (1, 0, ""), 5: (2, 0, "short\nshort"), 6: (2, 0, f"{line}\n{line}")}
 
 
+def test_line_dedup_of_rows_that_repeat_a_doc_id(spark):
+    line = "This line is long enough to count"
+    rows = [(1, f"short\n{line}", 5), (1, "keep me\nother", 6), (2, line, 7), (3, line, 8)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, __drop int")
+    assert sorted(map(tuple, line_dedup.apply(docs).collect())) == [(1, "keep me\nother", 6), (1, "short", 5), (2, "", 7), (3, line, 8)]
+    assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_pii_keeps_planted_secrets(spark):
+    rows = [(i, f"some words token = \"{hashlib.sha1(bytes([i])).hexdigest()}\" more") for i in range(30)]
+    rows += [(100 + i, f"write to ann{i}@mail.example.com or +1 (743) 555-38{10 + i}") for i in range(60)] + [(200, "my ssn is 219-31-4455"), (201, "a password: xxxxxxxxxx here")]
+    found = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert all(found[i] == ["secret"] for i in range(30)) and found[200] == ["ssn"]
+    assert all("email" in found[100 + i] and "phone" in found[100 + i] for i in range(60))
+    assert pii.find(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_labelers_are_judged_for_each_kind():
+    real, _ = pii.fit_em({("email", 1, 1, 0): 900, ("ip", 1, 1, 0): 900, ("secret", 1, 0, 1): 13})
+    assert real["secret", 1, 0, 1] > 0.9
+
+
+def test_passages_by_document(spark):
+    words = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, f"{words('a', 30)} {words('s', 80)}"), (2, f"{words('s', 80)} {words('b', 20)}"), (3, words("c", 90)), (4, words("c", 90)), (5, words("d", 70)), (6, None), (7, "short"), (8, "short"), (None, words("c", 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in passage_dedup.by_document(docs).collect()}
+    assert got == {1: (1, 0, 1, 1, 80), 2: (1, 0, 1, 1, 80), 3: (3, 1, 0, 1, 90), 4: (3, 1, 0, 1, 90)} | {i: (i, 0, 0, 0, 0) for i in (5, 6, 7, 8)}
+    assert passage_dedup.by_document(docs.limit(0)).count() == 0
+
+
 def test_html():
     page = "<head><title>t</title></head><nav><li>x</nav><div class='cookie notice'>n</div><article><header><h1>A &amp; B</h1></header><p>one<br>two<p>th&eacute;<div class=comments><p>c</div></article><footer>f"
     assert html_extraction.main_text(page) == "A & B\none two\nthé"
@@ -180,17 +211,22 @@ def test_quality_repeats(spark):
 
 def test_suffix_dedup(docs):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    seen = {}
-    for d, (_, b) in enumerate(rows):
-        for a in range(len(b) - 399):
-            seen.setdefault(b[a : a + 400], []).append((d, a))
-    cover = [bytearray(len(b)) for _, b in rows]
-    for places in seen.values():
-        for d, a in places if len(places) > 1 else ():
-            cover[d][a : a + 400] = b"\1" * 400
-    want = sorted((str(i), len(b), sum(c), hashlib.sha256(bytes(x for x, y in zip(b, c) if not y)).hexdigest()) for (i, b), c in zip(rows, cover))
+
+    def covered(length):
+        seen = {}
+        for d, (_, b) in enumerate(rows):
+            for a in range(len(b) - length + 1):
+                seen.setdefault(b[a : a + length], []).append((d, a))
+        cover = [bytearray(len(b)) for _, b in rows]
+        for places in seen.values():
+            for d, a in places if len(places) > 1 else ():
+                cover[d][a : a + length] = b"\1" * length
+        return cover
+
+    want = sorted((str(i), len(b), sum(c), hashlib.sha256(bytes(x for x, y in zip(b, c) if not y)).hexdigest(), sum(s)) for (i, b), c, s in zip(rows, covered(400), covered(250)))
     for hot in (20_000, 1):
-        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.dedup(docs, hot_pieces=hot).collect()) == want
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256, r.n_shared) for r in suffix_dedup.dedup(docs, hot_pieces=hot).collect()) == want
+    assert [r.n_removed for r in suffix_dedup.dedup(docs, shared=400).orderBy("doc_id", "n_bytes").collect()] == [r.n_removed for r in suffix_dedup.dedup(docs).orderBy("doc_id", "n_bytes").collect()]
     assert suffix_dedup.dedup(empty(docs)).count() == 0
 
 
