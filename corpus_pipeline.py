@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over documents, each on all that the one before has kept."""
+"""The corpus pipeline: five stages over documents, each on all that the one before has kept.
+
+Edge cases are those of the operators: null texts count as empty and go with the first stage, rows that repeat a
+doc_id are judged each, empty tables give an empty result, and further columns of documents are kept up to the bins.
+"""
 
 from __future__ import annotations
 
@@ -37,7 +41,8 @@ def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("bins", bins)]
 
-#: SimHash components, edit distances and best-fit bins are beyond SQL; tests/llm has a brute-force version.
+#: SimHash components, edit distances and best-fit bins are beyond SQL; tests/llm compares their operators with brute
+#: force one by one (packing by its invariants), and the pipeline by an example only.
 ORACLE_SQL = None
 
 
