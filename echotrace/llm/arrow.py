@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small, as texts can be long; a session's own smaller setting stands."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound Arrow batches by bytes, as texts can be long; batches of short rows stay large, and a session's own smaller setting stands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > size:
+        spark.conf.set(key, str(size))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
