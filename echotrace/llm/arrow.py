@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 1 << 20) -> None:
     """Bound Arrow batches by bytes, as texts can be long; batches of short rows stay large, and a session's own smaller setting stands."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > size:
