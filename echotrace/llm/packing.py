@@ -7,9 +7,10 @@ residuals in use gives the successor of a size, and the search goes on upward wh
 conflict. Bins carry a bitmap of sources and one of clusters; bins with equal source bitmaps and
 residuals are searched together.
 
-Documents are dealt by a hash of doc_id into shards of about ``shard_rows``, whose number follows
-the count of rows; each shard is packed by itself in one task, which holds the lengths, sources and
-clusters of its rows and no texts. A source that has a third of all rows is spread over all shards.
+Documents are dealt by a hash of doc_id, text and, among equal rows, the row's number into shards of about
+``shard_rows``, whose number follows the count of rows; each shard is packed by itself in one task, which holds
+the lengths, sources and clusters of its rows and no texts. A source, a doc_id or a text that has a third of all
+rows is spread over all shards.
 What sharding costs is at most the unfilled bins at the end of each shard.
 
 Edge cases. A null or empty text is a piece of 0 words, which takes part in conflicts. A null source
@@ -28,6 +29,7 @@ from .common import WORD, parts_for, table
 
 CAPACITY = 2048
 SHARD_ROWS = 20_000
+RUN = 10_000  # so many of a group of equal rows are numbered at once
 SCHEMA = "bin_id bigint, slot int, doc_id bigint, source string, cluster_id bigint, start_word bigint, n_words bigint"
 
 
@@ -106,10 +108,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     """A row for each piece: its bin, its slot there, and which words of which document it has."""
     text = F.coalesce(F.col("text"), F.lit(""))
     shards = parts_for(docs.count(), shard_rows)
-    d = docs.select(
-        "doc_id", "source", F.xxhash64(text).alias("cluster_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-        F.pmod(F.xxhash64(F.lit(3), F.col("doc_id"), text), F.lit(shards)).cast("int").alias("shard"),
-    )
+    d = docs.select("doc_id", "source", F.xxhash64(text).alias("cluster_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
+    # Equal rows are counted first, and each gets its number among them as a part of what deals it.
+    d = d.groupBy(*d.columns).agg(F.count("*").alias("rows"))
+    d = d.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / RUN)))).withColumn("first", F.col("run") * RUN)
+    d = d.withColumn("row", F.explode(F.sequence(F.col("first"), F.least("rows", F.col("first") + RUN) - 1)))
+    shard = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id"), F.col("cluster_id"), F.col("row")), F.lit(shards)).cast("int")
+    d = d.select("doc_id", "source", "cluster_id", "n_words", shard.alias("shard"))
     return d.groupBy("shard").applyInPandas(lambda rows: _pack_shard(rows, capacity), SCHEMA)
 
 
