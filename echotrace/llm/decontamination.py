@@ -9,7 +9,7 @@ alignment in and around the band then decides, and gives the edits and the place
 
 Items are the stated query set: they are taken in blocks of at most ``block_chars``, each block is
 sent to every task (its size is proven by the running sum that cuts the blocks), and the documents
-are scanned once a block. Within a task, documents are scanned in runs of bounded length; a text is
+are scanned once a block, whose matches are written before the next one is sent. Within a task, documents are scanned in runs of bounded length; a text is
 never cut.
 
 Edge cases. Null and empty items match nothing; null and empty texts have no matches. Items shorter
@@ -20,13 +20,15 @@ kept by ``drop_leaks``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import small_batches, texts
-from .common import fresh, table
+from .common import fresh, parts_for, stored, table
 
 Q, EDIT_RATE, BLOCK_CHARS, RUN_CHARS = 8, 0.1, 4_000_000, 400_000
 SCHEMA = "doc_id bigint, item_id bigint, edits int, item_chars int, start_word bigint, end_word bigint"
@@ -196,22 +198,30 @@ def _scan(items: Items, docs: list[tuple[int | None, bytes]]) -> list[tuple]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, bytes]]]:
     """Items in blocks of bounded size, one block on the driver at a time in the caller's loop."""
-    b = benchmark.where("item_id is not null and text is not null").select("item_id", "text", F.char_length("text").alias("__n"))
-    sized = b.select("item_id", "text", F.floor((F.sum("__n").over(Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0)) - 1) / block_chars).alias("block"))
-    blocks = [r[0] for r in sized.select("block").distinct().orderBy("block").collect()]
-    for k in blocks:
-        yield [(r[0], r[1].encode()) for r in sized.where(F.col("block") == k).select("item_id", "text").collect()]
+    b = benchmark.where("item_id is not null and text is not null").select("item_id", "text", F.char_length("text").alias("n"))
+    total = b.agg(F.sum("n")).first()[0] or 0
+    parts = parts_for(total, block_chars, 1)
+    # A part has about a block's characters, so that the running sums are taken by many tasks.
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    sized = b.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))).withColumn("block", F.floor((running - 1) / block_chars))
+    sized = stored(sized.drop("n"))
+    for part, block in sorted(map(tuple, sized.select("part", "block").distinct().collect())):
+        of = sized.where((F.col("part") == part) & (F.col("block") == block))
+        yield [(r[0], r[1].encode()) for r in of.select("item_id", "text").orderBy("item_id", "text").collect()]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item that the document holds: edits, and the words from start_word to end_word (exclusive)."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = None
+    out = held = None
     for block in _blocks(benchmark, block_chars):
-        shared = spark.sparkContext.broadcast(Items(block, q, edit_rate))
+        if held is not None:  # no more than one block stays with the tasks
+            out = stored(out)
+            held.destroy()
+        shared = held = spark.sparkContext.broadcast(Items(block, q, edit_rate))
 
         def run(batches, shared=shared):
             for b in batches:
