@@ -279,3 +279,70 @@ def test_component_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (5, None)], "a long, b long")
     assert {(r.a, r.b) for r in components(links).collect()} == {(i, 0) for i in range(1, 31)} | {(101, 100)}
     assert components(links.limit(0)).where(F.lit(True)).count() == 0
+
+
+def test_packing_puts_each_piece_into_the_tightest_bin(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 250) + [str(rng.randrange(40))]), rng.choice(["a", "b", "c", "d", None])) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows + rows[:30], "doc_id long, text string, source string"), 100).toPandas()
+    got = got.sort_values(["n_words", "doc_id", "start_word", "cluster_id"], ascending=[False, True, True, True], kind="stable")
+    # Equal pieces may come in either order; their bins' slots tell which came first.
+    bins, left = {}, got.to_dict("records")
+    while left:
+        same = [p for p in left if (p["n_words"], p["doc_id"], p["start_word"]) == (left[0]["n_words"], left[0]["doc_id"], left[0]["start_word"])]
+        for p in same:
+            left.remove(p)
+        residual = lambda b: 100 - sum(x["n_words"] for x in b)
+        fits = lambda p, b: p["n_words"] <= residual(b) and all(p["source"] is None or x["source"] != p["source"] for x in b) and all(x["cluster_id"] != p["cluster_id"] for x in b)
+        while same:
+            best = {id(p): min((residual(b) for b in bins.values() if fits(p, b)), default=None) for p in same}
+            able = [p for p in same if (residual(bins[p["bin_id"]]) if p["bin_id"] in bins else None) == best[id(p)] and len(bins.get(p["bin_id"], [])) == p["slot"]]
+            assert able
+            bins.setdefault(able[0]["bin_id"], []).append(able[0])
+            same.remove(able[0])
+
+
+def test_packing_deals_equal_rows_over_shards(spark):
+    docs = spark.range(400).selectExpr("cast(null as long) doc_id", "cast(null as string) text", "cast(null as string) source")
+    got = packing.pack(docs, shard_rows=50).toPandas()
+    assert len(got) == got["bin_id"].nunique() == 400 and (got["bin_id"] // 2**32).value_counts().max() <= 100
+
+
+def test_decontamination_against_every_alignment(spark):
+    import random
+
+    rng = random.Random(2)
+    letters = "abcdefghij"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randrange(1, 14)))) for i in range(25)]
+
+    def edited(text, n):
+        for _ in range(n):
+            at = rng.randrange(len(text))
+            text = rng.choice((text[:at] + text[at + 1 :], text[:at] + rng.choice(letters) + text[at:], text[:at] + rng.choice(letters) + text[at + 1 :]))
+        return text
+
+    docs = [(i, " ".join([*(word() for _ in range(rng.randrange(30))), edited(items[i % 25][1], rng.randrange(12)), *(word() for _ in range(rng.randrange(30)))])) for i in range(80)]
+
+    def edits(item, text):
+        row = [0] * (len(text) + 1)
+        for k, c in enumerate(item):
+            new = [k + 1]
+            for t, d in enumerate(text):
+                new.append(min(row[t] + (c != d), row[t + 1] + 1, new[t] + 1))
+            row = new
+        return min(row)
+
+    # Within the budget e, and no shorter than the lemma needs: items under q characters are found exactly.
+    want = {}
+    for d, t in [(d, " ".join(t.split())) for d, t in docs]:  # runs of white space are one blank
+        for i, x in items:
+            m = len(x)
+            least = edits(x, t) if m >= decontamination.Q else (0 if x in t else None)
+            if least is not None and least <= max(0, min(int(m * decontamination.EDIT_RATE), (m - decontamination.Q) // decontamination.Q)):
+                want[d, i] = least
+    for block_chars in (4_000_000, 300):
+        found = decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars).collect()
+        assert {(r.doc_id, r.item_id): r.edits for r in found} == want
