@@ -42,7 +42,7 @@ def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("bins", bins)]
 
 #: SimHash components, edit distances and best-fit bins are beyond SQL; tests/llm compares their operators with brute
-#: force one by one (packing by its invariants), and the pipeline by an example only.
+#: force one by one (packing by replaying best fit), and the pipeline by an example only.
 ORACLE_SQL = None
 
 
