@@ -8,19 +8,26 @@ shorter than a passage, so a text of n shingles has about 2n / (t + 1) windows.
 duplicates have the same least hash with a chance of their similarity; equal runs always have.
 
 Equal windows of copies of a text are merged within a map task; all others meet by their key. Up to ``FEW`` of
-one key are all linked with one another. Sharing a frequent shingle tells little, so windows of a more
-frequent key go by their texts to a second meeting (``surroundings``). There they meet under the hash of every
-stretch of ``least_words`` words in which too few functions can have rare keys, so texts that share a passage word by word always
-meet; these stretches are equal, so a link to the first text is enough, and a map task sends only its first
-on. For passages with edits they meet too under the shingle with a least hash from either side of it, near by
-or beyond the frequent shingles; up to ``FEW`` of these are all linked, more are linked to their predecessor
-and the first. A key that has over ``FEW`` rows in one map task is known there to be frequent: its rows are
-dealt evenly, and one row tells the key's task, so none gathers a frequent key. Which texts are compared does
-not depend on how the input is partitioned. Links of two texts are then joined by place: links whose
-windows follow one another form a chain, and a chain that ``agree`` different hash functions or an equal
-stretch support is verified against the words themselves: its anchors are extended as far as words agree
-and past small edits, which gives stretches of equal words in order, and every longest run of stretches stands whose two passages have shingle sets of Jaccard similarity of at
-least ``similarity``; so a chain that joins two passages over other text gives both.
+one key are all linked with one another. Windows of a more frequent key go by their texts to a second meeting
+(``surroundings``) under the hash of every stretch of ``least_words`` words in which too few functions can have
+rare keys, so texts that share a passage word by word always meet; these stretches are equal, so a link to the
+first text is enough, and a map task sends only its first on. A key that has over ``FEW`` rows in one map task
+is known there to be frequent: its rows are dealt evenly, and one row tells the key's task, so none gathers a
+frequent key. Which texts are compared does not depend on how the input is partitioned. Links of two texts are
+then joined by place: links whose windows follow one another form a chain, and a chain that ``agree`` different
+hash functions or an equal stretch support is verified against the words themselves: its anchors are extended
+as far as words agree and past small edits, which gives stretches of equal words in order, and every longest
+run of stretches stands whose two passages have shingle sets of Jaccard similarity of at least ``similarity``;
+so a chain that joins two passages over other text gives both.
+
+For passages with edits under frequent keys a third meeting follows (``_rest``), in which no group is cut. Two
+passages within ``similarity`` have, repeats apart, ``sure_stretch`` shingles in a row in common, so texts with
+frequent keys meet under least hashes of shorter stretches that such a row cannot do without. All pairs of a
+group are linked and verified but those whose words the passages found before connect already (``_runs``).
+So texts and passages are connected as if all pairs of frequent keys were compared; links between texts that are
+connected anyway need not all be given, and of a stretch that a text repeats without a break the first and
+the last place count. Pairs that share a frequent line and no passage are all compared: the cost of this meeting
+grows with the square of their number.
 
 Texts are known by a hash until they are verified, so equal texts are one text. The result has pairs of
 class representatives (the smallest doc_id of each text) with the passage in both, and for membership a
@@ -52,7 +59,7 @@ HASHES, AGREE = 4, 2
 CHUNK, FEW, HELD = 1_000_000, 16, 8192
 EXACT, PLACE = 7, 2**30 - 1  # EXACT stands in a link where the function stands, for equal stretches
 ROW, PASS, MARK = 0, 1, 2  # kinds of rows: a window, one whose key is known to be frequent, and the word of it for the key's task
-NEAR_HASHES = 2
+BLOCK = 1000  # texts of one key on either side that a task compares at a time
 GAP = 64
 STRIDE, CELLS = 32, 1_000_000
 EDIT = 3  # words on either side that verification steps over between stretches of equal words
@@ -98,16 +105,6 @@ def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _neighbours(key: np.ndarray, tk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by key and tk: the pairs (a, b) of rows with their predecessor or their key's first row, if of another text."""
-    group, first, _ = _groups(key)
-    at, first = np.arange(len(key)), first[group]
-    prev = np.maximum(at - 1, 0)
-    near = (at > first) & (tk[prev] != tk)
-    star = (first < prev) & (tk[first] != tk) & (tk[first] != tk[prev])
-    return np.concatenate((prev[near], first[star])), np.concatenate((at[near], at[star]))
-
-
 def _pack(c: np.ndarray, j: np.ndarray | int, co: np.ndarray | int) -> np.ndarray:
     """Two places below 2^30, more than a text of 2 GB has words, and a function below 8, in 64 bits."""
     low, mid, high = (np.asarray(x).astype(np.uint64) for x in (j, c, co))
@@ -267,12 +264,9 @@ def _stretch_hashes(x: np.ndarray, least: int) -> np.ndarray:
     return ((x[:n] * _MIX ^ x[:n] >> np.uint64(29)) + x[least - span :]) * _BASE
 
 
-def surroundings(x: np.ndarray, anchors: list[tuple[int, int]], least: int, rare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sub, j, place): the keys under which the anchors (c, j) of a text with shingle hashes x meet again.
-
-    Equal stretches need a key only where more than ``rare`` functions may have a frequent key; else enough
-    others agree on them by their own keys."""
-    cs = np.unique([c for c, _ in anchors])
+def surroundings(x: np.ndarray, anchors: list[tuple[int, int]], least: int, rare: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(sub, place): a key for every stretch of least shingles of a text with shingle hashes x in which more than
+    ``rare`` functions have anchors (c, j) of frequent keys; elsewhere enough functions agree by their own keys."""
     functions = np.zeros(len(x), np.int32)  # how many have anchors in the stretch from each place on
     for j in {j for _, j in anchors}:
         of = np.array([c for c, k in anchors if k == j])
@@ -281,43 +275,19 @@ def surroundings(x: np.ndarray, anchors: list[tuple[int, int]], least: int, rare
         np.add.at(inside, of + 1, -1)
         functions += inside.cumsum()[:-1] > 0
     at = np.flatnonzero(functions[: len(x) - least + 1] > rare)
-    rows = [(_stretch_hashes(x, least)[at], np.full(len(at), EXACT), at)]
-    zone = np.zeros(len(x), bool)  # anchors and what lies between near ones: what a frequent line leaves of itself
-    zone[cs] = True
-    for a, b in zip(cs, cs[1:]):
-        if b - a <= least // 2:
-            zone[a:b] = True
-    near = []
-    for m in salts(EXACT + NEAR_HASHES)[EXACT:]:
-        h = x * m
-        h ^= h >> np.uint64(31)
-        far = np.where(zone, np.uint64(2**64 - 1), h)
-        near += [(h, least // 2), (far, least - 1)]
-    c, j = np.array(anchors, np.int64).T
-    at = np.concatenate((np.zeros(least - 1, np.int32), functions))
-    alone = at[c[:, None] + np.arange(least)].max(axis=1) < 2
-    none = np.uint64(2**64 - 1)
-    for k, (h, reach) in enumerate(near):
-        edge = np.full(reach, none)
-        h = np.concatenate((edge, h, edge))
-        for side, first in enumerate((0, reach + 1)):
-            v = h[c[:, None] + (first + np.arange(reach))].min(axis=1)
-            ok = (v < none) & ~(alone & (k > 0))
-            sub = v[ok] + x[c[ok]] * (16 * k + 8 * side + 3 + j[ok]).astype(np.uint64)
-            rows.append((sub * _MIX, j[ok], c[ok]))
-    return tuple(map(np.concatenate, zip(*rows)))
-
-
-def _combine_equal(sub: np.ndarray, j: np.ndarray, tk: np.ndarray, c: np.ndarray, least: int) -> pa.RecordBatch:
+    return _stretch_hashes(x, least)[at], at
+
+
+def _combine_equal(sub: np.ndarray, tk: np.ndarray, c: np.ndarray, least: int) -> pa.RecordBatch:
     """Part of a map task's rows (key, tk, at, other): of equal stretches the first text's, and links from it (other <> tk) to the rest."""
-    at = _pack(c, j, 0)
+    at = _pack(c, EXACT, 0)
     order = np.lexsort((at, tk, sub))
     sub, tk, at = sub[order], tk[order], at[order]
     once = _once(sub, tk, at)
     sub, tk, at = sub[once].view(np.int64), tk[once], at[once]
     group, first, _ = _groups(sub)
     first = first[group]
-    goes = (at & 7 != EXACT) | (tk == tk[first])
+    goes = tk == tk[first]
     rows = [(sub[goes], tk[goes], at[goes], tk[goes])]
     b = np.flatnonzero(~goes)
     a = first[b]
@@ -334,16 +304,20 @@ def _combine_equal(sub: np.ndarray, j: np.ndarray, tk: np.ndarray, c: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["key", "tk", "at", "other"])
 
 
+def _anchors(packed: list[int]) -> list[tuple[int, int]]:
+    return [(x >> 4 & PLACE, x & 7) for x in packed]
+
+
 def _surrounding_links(anchored: DataFrame, least_words: int, rare: int) -> DataFrame:
-    """(a, b, at) like _links, of the anchors of frequent keys. anchored: tk, text, anchors."""
+    """(a, b, at) like _links, of equal stretches around the anchors of frequent keys. anchored: tk, text, anchors."""
     least = least_words - SHINGLE + 1
 
     def meet(batches):
         held, size = [], 0
         for b in batches:
             for tk, text, anchors in zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist()):
-                sub, j, c = surroundings(shingle_hashes(text.lower().split()), [(x >> 4 & PLACE, x & 7) for x in anchors], least, rare)
-                held.append((sub, j, np.full(len(sub), tk), c))
+                sub, c = surroundings(shingle_hashes(text.lower().split()), _anchors(anchors), least, rare)
+                held.append((sub, np.full(len(sub), tk), c))
                 size += len(sub)
             if size >= CHUNK:
                 yield _combine_equal(*map(np.concatenate, zip(*held)), least)
@@ -362,22 +336,105 @@ def _surrounding_links(anchored: DataFrame, least_words: int, rare: int) -> Data
         key, tk, at = key[once], tk[once], at[once]
         group, first, _ = _groups(key)
         first = first[group]
-        exact, often = at & 7 == EXACT, _frequent(key, tk)
-        star = np.flatnonzero(exact & (tk != tk[first]))
-        pairs = [(tk[first[star]], tk[star], at[first[star]], at[star])]
-        for which, of in ((~exact & often, _neighbours), (~exact & ~often, _all_pairs)):
-            k, t, p = key[which], tk[which], at[which]
-            if len(k):
-                a, b = of(k, t)
-                pairs.append((t[a], t[b], p[a], p[b]))
-        a, b, x, y = map(np.concatenate, zip(*pairs))
-        if len(a):
-            yield _batch(a, b, x >> 4, y >> 4, x & 7)
+        star = np.flatnonzero(tk != tk[first])
+        if len(star):
+            yield _batch(tk[first[star]], tk[star], at[first[star]] >> 4, at[star] >> 4, at[star] & 7)
 
     rows = anchored.select("tk", "text", "anchors").mapInArrow(meet, "key bigint, tk bigint, at bigint, other bigint")
     return _sorted(rows, lambda batches: _by_key(batches, judge), "a bigint, b bigint, at bigint", "key", "tk", "at")
 
 
+def sure_stretch(least: int, similarity: float) -> int:
+    """How many shingles in a row two passages of at least least shingles have in common at least, repeats apart.
+
+    Of n shingles up to k = n (1 - s) / (1 + s) may be missing; an edit between two common shingles takes SHINGLE, so that
+    the others lie in k // SHINGLE + 1 stretches."""
+    missing = [(n, int(n * (1 - similarity) / (1 + similarity) + 1e-9)) for n in range(least, 8 * least)]
+    return max(1, min(-(-(n - k) // (k // SHINGLE + 1)) for n, k in missing))
+
+
+def picked(x: np.ndarray, span: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sub, place) of stretches of span elements: the least hash of every window of them, so that equal stretches of span + window - 1 elements share one.
+
+    Places of one hash no more than span apart are a stretch repeated without a break; of these the first and the last stand."""
+    if len(x) < span:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = _stretch_hashes(x, span)
+    window = min(window, len(h))
+    views = np.lib.stride_tricks.sliding_window_view(h, window)
+    at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    at = at[np.argsort(h[at], kind="stable")]
+    on = (h[at][1:] == h[at][:-1]) & (np.diff(at) <= span)
+    at = at[~(np.concatenate(([False], on)) & np.concatenate((on, [False])))]
+    return h[at], at
+
+
+def _across(key, deal, grid, tk, at, root):
+    """Links of all pairs of one key, two texts and two roots, of rows sorted by key; in a cell off the grid's diagonal between its two sides."""
+    group, first, last = _groups(key)
+    large = (last - first >= FEW)[group]
+    held, size = [], 0
+    for rows in [np.flatnonzero(~large)] + [np.arange(f, n + 1) for f, n in zip(first, last) if n - f >= FEW]:
+        k, d, g, t, p, r = (v[rows] for v in (key, deal, grid, tk, at, root))
+        for step in range(1, len(k)):
+            same = k[step:] == k[:-step]
+            if not same.any():
+                break
+            a = np.flatnonzero(same & (t[step:] != t[:-step]) & (r[step:] != r[:-step]) & (~g[step:] | (d[step:] != d[:-step])))
+            held.append((t[a], t[a + step], p[a], p[a + step]))
+            size += len(a)
+            if size >= CHUNK // 4:
+                yield _batch(*map(np.concatenate, zip(*held)), EXACT)
+                held, size = [], 0
+    if size:
+        yield _batch(*map(np.concatenate, zip(*held)), EXACT)
+
+
+def _runs(sure: DataFrame) -> DataFrame:
+    """(id, runs): the words of a text in passages found so far, as runs (start, end, root), in order; runs that passages connect have one root."""
+    link = F.xxhash64(*sure.columns).alias("link")
+    sides = [sure.select(link, *(F.col(f"{c}_{x}").alias(n) for c, n in (("doc_id", "id"), ("start", "start"), ("end", "end")))) for x in "ab"]
+    by = Window.partitionBy("id").orderBy("start", "end")
+    each = sides[0].union(sides[1]).withColumn("reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), F.col("start"))
+    each = each.withColumn("run", F.last(new, True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    each = cut(each.select("link", "id", "start", "end", F.shiftright(F.xxhash64("id", "run"), 2).alias("node")))  # sums of two must not overflow
+    roots = components(each.groupBy("link").agg(F.min("node").alias("a"), F.max("node").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    runs = each.groupBy("id", "node").agg(F.min("start").alias("start"), F.max("end").alias("end")).join(roots, "node", "left")
+    return runs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.coalesce("root", "node").alias("root")))).alias("runs"))
+
+
+def _rest(anchored: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """(a, b, at) like _links: of texts with frequent keys, stretches that all near-duplicate passages have in common, where the passages found so far do not connect them.
+
+    anchored: tk, text, runs."""
+    sure = sure_stretch(least_words - SHINGLE + 1, similarity)
+    span = -(-2 * sure // 3) + 1
+
+    def keys(batches):
+        for b in batches:
+            out = []
+            for tk, text, runs in zip(b.column(0).to_pylist(), texts(b), b.column(2)):
+                sub, at = picked(shingle_hashes(text.lower().split()), span, sure - span + 1)
+                root = np.full(len(at), tk)
+                if runs.is_valid and len(runs):
+                    start, end, of = (runs.values.field(i).to_numpy() for i in range(3))
+                    middle = at + (span + SHINGLE) // 2
+                    run = np.searchsorted(start, middle, "right") - 1
+                    root = np.where((run >= 0) & (middle < end[run]), of[run], root)
+                out.append((sub, np.full(len(at), tk), at, root))
+            if out:
+                sub, tk, at, root = map(np.concatenate, zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sub.view(np.int64), tk, at.astype(np.int64), root)], ["key", "tk", "at", "root"])
+
+    each = stored(anchored.select("tk", "text", "runs").mapInArrow(keys, "key bigint, tk bigint, at bigint, root bigint"))
+    sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", F.ceil(F.col("n") / BLOCK).alias("sides"))
+    # A key of more than BLOCK rows is compared in cells of a grid, each by itself.
+    cells = each.join(sizes, "key").select("key", F.pmod(F.xxhash64("tk"), "sides").alias("deal"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("with"), "tk", "at", "root")
+    cells = cells.select(F.xxhash64("key", F.least("deal", "with"), F.greatest("deal", "with")).alias("key"), "deal", (F.col("deal") != F.col("with")).alias("grid"), "tk", "at", "root")
+    return _sorted(cells, lambda batches: _by_key(batches, _across), "a bigint, b bigint, at bigint", "key")
+
+
 def _chains(anchors: list[tuple[int, int, int]], least: int) -> list[list[tuple[int, int, int]]]:
     """Anchors (ca, cb, j) in chains of neighbours whose diagonals hardly move."""
     chains: list[list[tuple[int, int, int]]] = []
@@ -530,13 +587,12 @@ def _found(docs: DataFrame, least_words: int, similarity: float, hashes: int, ag
     met = stored(_links(windows(keyed, least_words, hashes)))
     release(docs.sparkSession)
     often = met.where("b is null").groupBy("a").agg(F.collect_set("at").alias("anchors")).withColumnRenamed("a", "o").join(side("o"), "o")
-    anchored = often.join(texts_of("o"), ["id_o", "o"]).select(F.col("o").alias("tk"), F.col("text_o").alias("text"), "anchors")
+    anchored = often.join(texts_of("o"), ["id_o", "o"]).select(F.col("o").alias("tk"), F.col("text_o").alias("text"), "anchors", "id_o")
     links = met.where("b is not null").unionByName(_surrounding_links(anchored, least_words, max(0, hashes - agree)))
     lists = links.groupBy("a", "b").agg(F.collect_set("at").alias("anchors"))
     functions = F.array_distinct(F.transform("anchors", lambda x: x.bitwiseAND(7)))
     pairs = stored(lists.where((F.size(functions) >= agree) | F.array_contains(functions, F.lit(EXACT).cast("long"))))
     release(docs.sparkSession)
-    named = pairs.join(side("a"), "a").join(side("b"), "b")
     margin = MARGIN * least_words
 
     def clip(batches):
@@ -557,10 +613,6 @@ def _found(docs: DataFrame, least_words: int, similarity: float, hashes: int, ag
                 kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int8())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id_a", "id_b", "b", "at", "words", "ca", "off", "js"])
 
-    first = named.join(texts_of("a"), ["id_a", "a"]).select("id_a", "id_b", "b", "text_a", "anchors")
-    clips = first.mapInArrow(clip, "id_a bigint, id_b bigint, b bigint, at bigint, words binary, ca array<int>, off array<int>, js array<tinyint>")
-    whole = clips.join(texts_of("b"), ["id_b", "b"]).select("id_a", "id_b", "at", "words", "text_b", "ca", "off", "js")
-
     def verify(batches):
         seen, words = None, []
         for b in batches:
@@ -575,7 +627,19 @@ def _found(docs: DataFrame, least_words: int, similarity: float, hashes: int, ag
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 6 else pa.float64()) for i, c in enumerate(zip(*out))], [f.split()[0] for f in PAIRS.split(", ")])
 
-    return whole.mapInArrow(verify, PAIRS).distinct(), ids, classes
+    def verified(pairs):
+        named = pairs.join(side("a"), "a").join(side("b"), "b")
+        first = named.join(texts_of("a"), ["id_a", "a"]).select("id_a", "id_b", "b", "text_a", "anchors")
+        clips = first.mapInArrow(clip, "id_a bigint, id_b bigint, b bigint, at bigint, words binary, ca array<int>, off array<int>, js array<tinyint>")
+        whole = clips.join(texts_of("b"), ["id_b", "b"]).select("id_a", "id_b", "at", "words", "text_b", "ca", "off", "js")
+        return whole.mapInArrow(verify, PAIRS).distinct()
+
+    between = stored(verified(pairs))
+    release(docs.sparkSession)
+    open_ = anchored.join(_runs(between).withColumnRenamed("id", "id_o"), "id_o", "left")
+    rest = stored(_rest(open_, least_words, similarity).groupBy("a", "b").agg(F.collect_set("at").alias("anchors")))
+    release(docs.sparkSession)
+    return between.unionByName(stored(verified(rest))).distinct(), ids, classes
 
 
 def near_passages(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, agree: int = AGREE) -> DataFrame:

@@ -191,6 +191,29 @@ def test_passages_do_not_depend_on_partitions(spark):
     assert got[0] == got[1] == got[2] and {x[:2] for x in got[0]} == want
 
 
+def test_no_edited_passage_of_a_frequent_line_is_lost(spark, monkeypatch):
+    line = " ".join(f"line{k}" for k in range(40))
+    own = lambda i: " ".join(f"e{i}" if k == 7 else f"p{i // 2}x{k}" for k in range(14))
+    rows = [(i, f"{' '.join(f'u{i}x{k}' for k in range(40))} {own(i)} {line} {' '.join(f'v{i}x{k}' for k in range(30))}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (passage_dedup.BLOCK, 60):  # one cell for the line's texts, and a grid of them
+        monkeypatch.setattr(passage_dedup, "BLOCK", block)
+        got = {(r.doc_id_a, r.doc_id_b): (r.start_a, r.end_a, r.start_b, r.end_b) for r in passage_dedup.near_passages(docs).collect()}
+        assert got == {(i, i + 1): (40, 94, 40, 94) for i in range(0, 400, 2)}
+
+
+def test_equal_stretches_share_a_picked_place():
+    import numpy as np
+
+    assert passage_dedup.sure_stretch(46, 0.8) == 21
+    rng = np.random.default_rng(2)
+    for n in (21, 40):
+        same = rng.integers(0, 2**63, n, dtype=np.uint64)
+        a, b = (np.concatenate((rng.integers(0, 2**63, k, dtype=np.uint64), same, rng.integers(0, 2**63, 30, dtype=np.uint64))) for k in (13, 50))
+        assert set(passage_dedup.picked(a, 15, 7)[0]) & set(passage_dedup.picked(b, 15, 7)[0])
+    assert len(passage_dedup.picked(np.tile(a[:3], 500), 15, 7)[0]) <= 6  # a repeat without a break: its ends
+
+
 def test_compact_windows_cover_every_run_once():
     import numpy as np
 
