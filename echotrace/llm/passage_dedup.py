@@ -11,7 +11,9 @@ Equal windows of copies of a text are merged within a map task; all others meet
 one key are all linked with one another. Windows of a more frequent key go by their texts to a second meeting
 (``surroundings``) under the hash of every stretch of ``least_words`` words in which too few functions can have
 rare keys, so texts that share a passage word by word always meet; these stretches are equal, so a link to the
-first text is enough, and a map task sends only its first on. A key that has over ``FEW`` rows in one map task
+first text is enough, and a map task sends only its first on. For passages with edits they meet too under the
+shingle with a least hash from either side of it, near by or beyond the frequent shingles; up to ``FEW`` of these
+are all linked, more are linked to their predecessor and the first. A key that has over ``FEW`` rows in one map task
 is known there to be frequent: its rows are dealt evenly, and one row tells the key's task, so none gathers a
 frequent key. Which texts are compared does not depend on how the input is partitioned. Links of two texts are
 then joined by place: links whose windows follow one another form a chain, and a chain that ``agree`` different
@@ -59,6 +61,7 @@ HASHES, AGREE = 4, 2
 CHUNK, FEW, HELD = 1_000_000, 16, 8192
 EXACT, PLACE = 7, 2**30 - 1  # EXACT stands in a link where the function stands, for equal stretches
 ROW, PASS, MARK = 0, 1, 2  # kinds of rows: a window, one whose key is known to be frequent, and the word of it for the key's task
+NEAR_HASHES = 2
 BLOCK = 1000  # texts of one key on either side that a task compares at a time
 GAP = 64
 STRIDE, CELLS = 32, 1_000_000
@@ -105,6 +108,16 @@ def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _neighbours(key: np.ndarray, tk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key and tk: the pairs (a, b) of rows with their predecessor or their key's first row, if of another text."""
+    group, first, _ = _groups(key)
+    at, first = np.arange(len(key)), first[group]
+    prev = np.maximum(at - 1, 0)
+    near = (at > first) & (tk[prev] != tk)
+    star = (first < prev) & (tk[first] != tk) & (tk[first] != tk[prev])
+    return np.concatenate((prev[near], first[star])), np.concatenate((at[near], at[star]))
+
+
 def _pack(c: np.ndarray, j: np.ndarray | int, co: np.ndarray | int) -> np.ndarray:
     """Two places below 2^30, more than a text of 2 GB has words, and a function below 8, in 64 bits."""
     low, mid, high = (np.asarray(x).astype(np.uint64) for x in (j, c, co))
@@ -264,9 +277,12 @@ def _stretch_hashes(x: np.ndarray, least: int) -> np.ndarray:
     return ((x[:n] * _MIX ^ x[:n] >> np.uint64(29)) + x[least - span :]) * _BASE
 
 
-def surroundings(x: np.ndarray, anchors: list[tuple[int, int]], least: int, rare: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(sub, place): a key for every stretch of least shingles of a text with shingle hashes x in which more than
-    ``rare`` functions have anchors (c, j) of frequent keys; elsewhere enough functions agree by their own keys."""
+def surroundings(x: np.ndarray, anchors: list[tuple[int, int]], least: int, rare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sub, j, place): the keys under which the anchors (c, j) of a text with shingle hashes x meet again.
+
+    Equal stretches need a key only where more than ``rare`` functions may have a frequent key; else enough
+    others agree on them by their own keys."""
+    cs = np.unique([c for c, _ in anchors])
     functions = np.zeros(len(x), np.int32)  # how many have anchors in the stretch from each place on
     for j in {j for _, j in anchors}:
         of = np.array([c for c, k in anchors if k == j])
@@ -275,19 +291,43 @@ def surroundings(x: np.ndarray, anchors: list[tuple[int, int]], least: int, rare
         np.add.at(inside, of + 1, -1)
         functions += inside.cumsum()[:-1] > 0
     at = np.flatnonzero(functions[: len(x) - least + 1] > rare)
-    return _stretch_hashes(x, least)[at], at
-
-
-def _combine_equal(sub: np.ndarray, tk: np.ndarray, c: np.ndarray, least: int) -> pa.RecordBatch:
+    rows = [(_stretch_hashes(x, least)[at], np.full(len(at), EXACT), at)]
+    zone = np.zeros(len(x), bool)  # anchors and what lies between near ones: what a frequent line leaves of itself
+    zone[cs] = True
+    for a, b in zip(cs, cs[1:]):
+        if b - a <= least // 2:
+            zone[a:b] = True
+    near = []
+    for m in salts(EXACT + NEAR_HASHES)[EXACT:]:
+        h = x * m
+        h ^= h >> np.uint64(31)
+        far = np.where(zone, np.uint64(2**64 - 1), h)
+        near += [(h, least // 2), (far, least - 1)]
+    c, j = np.array(anchors, np.int64).T
+    at = np.concatenate((np.zeros(least - 1, np.int32), functions))
+    alone = at[c[:, None] + np.arange(least)].max(axis=1) < 2
+    none = np.uint64(2**64 - 1)
+    for k, (h, reach) in enumerate(near):
+        edge = np.full(reach, none)
+        h = np.concatenate((edge, h, edge))
+        for side, first in enumerate((0, reach + 1)):
+            v = h[c[:, None] + (first + np.arange(reach))].min(axis=1)
+            ok = (v < none) & ~(alone & (k > 0))
+            sub = v[ok] + x[c[ok]] * (16 * k + 8 * side + 3 + j[ok]).astype(np.uint64)
+            rows.append((sub * _MIX, j[ok], c[ok]))
+    return tuple(map(np.concatenate, zip(*rows)))
+
+
+def _combine_equal(sub: np.ndarray, j: np.ndarray, tk: np.ndarray, c: np.ndarray, least: int) -> pa.RecordBatch:
     """Part of a map task's rows (key, tk, at, other): of equal stretches the first text's, and links from it (other <> tk) to the rest."""
-    at = _pack(c, EXACT, 0)
+    at = _pack(c, j, 0)
     order = np.lexsort((at, tk, sub))
     sub, tk, at = sub[order], tk[order], at[order]
     once = _once(sub, tk, at)
     sub, tk, at = sub[once].view(np.int64), tk[once], at[once]
     group, first, _ = _groups(sub)
     first = first[group]
-    goes = tk == tk[first]
+    goes = (at & 7 != EXACT) | (tk == tk[first])
     rows = [(sub[goes], tk[goes], at[goes], tk[goes])]
     b = np.flatnonzero(~goes)
     a = first[b]
@@ -304,20 +344,16 @@ def _combine_equal(sub: np.ndarray, tk: np.ndarray, c: np.ndarray, least: int) -
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["key", "tk", "at", "other"])
 
 
-def _anchors(packed: list[int]) -> list[tuple[int, int]]:
-    return [(x >> 4 & PLACE, x & 7) for x in packed]
-
-
 def _surrounding_links(anchored: DataFrame, least_words: int, rare: int) -> DataFrame:
-    """(a, b, at) like _links, of equal stretches around the anchors of frequent keys. anchored: tk, text, anchors."""
+    """(a, b, at) like _links, of the anchors of frequent keys. anchored: tk, text, anchors."""
     least = least_words - SHINGLE + 1
 
     def meet(batches):
         held, size = [], 0
         for b in batches:
             for tk, text, anchors in zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist()):
-                sub, c = surroundings(shingle_hashes(text.lower().split()), _anchors(anchors), least, rare)
-                held.append((sub, np.full(len(sub), tk), c))
+                sub, j, c = surroundings(shingle_hashes(text.lower().split()), [(x >> 4 & PLACE, x & 7) for x in anchors], least, rare)
+                held.append((sub, j, np.full(len(sub), tk), c))
                 size += len(sub)
             if size >= CHUNK:
                 yield _combine_equal(*map(np.concatenate, zip(*held)), least)
@@ -336,9 +372,17 @@ def _surrounding_links(anchored: DataFrame, least_words: int, rare: int) -> Data
         key, tk, at = key[once], tk[once], at[once]
         group, first, _ = _groups(key)
         first = first[group]
-        star = np.flatnonzero(tk != tk[first])
-        if len(star):
-            yield _batch(tk[first[star]], tk[star], at[first[star]] >> 4, at[star] >> 4, at[star] & 7)
+        exact, often = at & 7 == EXACT, _frequent(key, tk)
+        star = np.flatnonzero(exact & (tk != tk[first]))
+        pairs = [(tk[first[star]], tk[star], at[first[star]], at[star])]
+        for which, of in ((~exact & often, _neighbours), (~exact & ~often, _all_pairs)):
+            k, t, p = key[which], tk[which], at[which]
+            if len(k):
+                a, b = of(k, t)
+                pairs.append((t[a], t[b], p[a], p[b]))
+        a, b, x, y = map(np.concatenate, zip(*pairs))
+        if len(a):
+            yield _batch(a, b, x >> 4, y >> 4, x & 7)
 
     rows = anchored.select("tk", "text", "anchors").mapInArrow(meet, "key bigint, tk bigint, at bigint, other bigint")
     return _sorted(rows, lambda batches: _by_key(batches, judge), "a bigint, b bigint, at bigint", "key", "tk", "at")
