@@ -28,8 +28,8 @@ frequent keys meet under least hashes of shorter stretches that such a row canno
 group are linked and verified but those whose words the passages found before connect already (``_runs``).
 So texts and passages are connected as if all pairs of frequent keys were compared; links between texts that are
 connected anyway need not all be given, and of a stretch that a text repeats without a break the first and
-the last place count. Pairs that share a frequent line and no passage are all compared: the cost of this meeting
-grows with the square of their number.
+the last place count. Pairs whose words around the place have too few shingles in common for any passage (``_across``)
+are not verified; all others of a group are, so the cost of this meeting may grow with the square of their number.
 
 Texts are known by a hash until they are verified, so equal texts are one text. The result has pairs of
 class representatives (the smallest doc_id of each text) with the passage in both, and for membership a
@@ -72,14 +72,21 @@ PAIRS = "doc_id_a bigint, doc_id_b bigint, start_a bigint, end_a bigint, start_b
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """A 64-bit hash of the shingle that starts at each word."""
-    from xxhash import xxh3_64_intdigest
+    return _shingled(word_hashes(words), shingle)
+
 
-    n = len(words) - shingle + 1
+def _shingled(w: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    n = len(w) - shingle + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     h = w[:n].copy()
     for k in range(1, shingle):
         h *= _BASE
@@ -413,19 +420,84 @@ def picked(x: np.ndarray, span: int, window: int) -> tuple[np.ndarray, np.ndarra
     return h[at], at
 
 
-def _across(key, deal, grid, tk, at, root):
-    """Links of all pairs of one key, two texts and two roots, of rows sorted by key; in a cell off the grid's diagonal between its two sides."""
-    group, first, last = _groups(key)
-    large = (last - first >= FEW)[group]
-    held, size = [], 0
-    for rows in [np.flatnonzero(~large)] + [np.arange(f, n + 1) for f, n in zip(first, last) if n - f >= FEW]:
-        k, d, g, t, p, r = (v[rows] for v in (key, deal, grid, tk, at, root))
-        for step in range(1, len(k)):
-            same = k[step:] == k[:-step]
-            if not same.any():
-                break
-            a = np.flatnonzero(same & (t[step:] != t[:-step]) & (r[step:] != r[:-step]) & (~g[step:] | (d[step:] != d[:-step])))
-            held.append((t[a], t[a + step], p[a], p[a + step]))
+def _around(words: np.ndarray, at: np.ndarray, span: int, reach: int) -> np.ndarray:
+    """For each place the words of the stretch of span shingles there and of reach more on either side, a byte each; 0 beyond the text."""
+    width = span + SHINGLE - 1 + 2 * reach
+    edge = np.zeros(reach, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate((edge, words, edge)), width)[at]
+
+
+def _fewest(code: np.ndarray, least: int, span: int) -> np.ndarray:
+    """For each row of shingles, 0 beyond the text: how many different ones a run of least of them has at least that holds the span in the middle."""
+    n, width = code.shape
+    order = np.argsort(code, axis=1, kind="stable")
+    inner = np.take_along_axis(code, order, 1)
+    last = np.full((n, width), -1)  # where each shingle stood before
+    np.put_along_axis(last, order[:, 1:], np.where(inner[:, 1:] == inner[:, :-1], order[:, :-1], -1), 1)
+    last[code == 0] = width + least  # no run may hold these
+    middle, out = (width - span) // 2, np.full(n, 2 * width)
+    for p in range(max(0, middle + min(span - least, 0)), middle + 1):
+        run = last[:, p : p + least]
+        out = np.where((run > width).any(axis=1), out, np.minimum(out, (run < p).sum(axis=1)))
+    return out
+
+
+def _in_common(around: np.ndarray, least: int, span: int):
+    """Rows of _around(): a function that counts the common shingles of rows lo to hi and every row, _fewest() of each row, and which rows repeat a shingle."""
+    n, width = len(around), around.shape[1] - SHINGLE + 1
+    code, whole = np.zeros((n, width), np.uint64), np.ones((n, width), bool)
+    for k in range(SHINGLE):
+        code = code << np.uint64(8) | around[:, k : k + width]
+        whole &= around[:, k : k + width] > 0
+    code[~whole] = 0
+    low = np.uint64(2**24 - 1)
+    both = np.sort((code << np.uint64(24) | np.arange(n, dtype=np.uint64)[:, None])[whole])
+    again = both[1:] == both[:-1]
+    repeats, fewest = np.zeros(n, bool), np.full(n, least)
+    repeats[(both[1:][again] & low).astype(int)] = True
+    fewest[repeats] = _fewest(code[repeats], least, span)
+    both = both[np.concatenate(([True], ~again))[: len(both)]]
+    value = both >> np.uint64(24)
+    same = np.concatenate(([False], value[1:] == value[:-1], [False]))[: len(value) + 1]
+    several = same[:-1] | same[1:]
+    row, column = (both[several] & low).astype(int), (~same[:-1])[several].cumsum() - 1
+    columns = int(column[-1]) + 1 if len(column) else 0
+    some = max(1, 4 * CELLS // n)
+
+    def count(lo, hi):
+        out = np.zeros((hi - lo, n), np.float32)
+        for c in range(0, columns, some):
+            held = slice(*np.searchsorted(column, (c, c + some)))
+            m = np.zeros((n, min(some, columns - c)), np.float32)
+            m[row[held], column[held] - c] = 1
+            out += m[lo:hi] @ m.T
+        return out
+
+    return count, fewest, repeats
+
+
+def _across(key, deal, grid, tk, at, root, around, least, span, similarity):
+    """Links of the pairs of one key, two texts and two roots, of rows sorted by key; in a cell off the grid's diagonal between its two sides.
+
+    Passages X and Y of that similarity have (1 + similarity) |X & Y| >= similarity (|X| + |Y|), as sets of shingles. Rows whose
+    common shingles around the place are too few for the fewest that X and Y may have are in no passage there. Where a row repeats
+    shingles, a passage may go on by the same ones to others far away, so that such rows are linked unless fewer than SHINGLE are common."""
+    held, size, share = [], 0, similarity / (1 + similarity)
+    for f, n in zip(*_groups(key)[1:]):
+        rows = slice(f, n + 1)
+        d, g, t, p, r = (v[rows] for v in (deal, grid, tk, at, root))
+        if r.min() == r.max() or t.min() == t.max():
+            continue
+        count, fewest, repeats = _in_common(np.frombuffer(b"".join(around[rows]), np.uint8).reshape(len(t), -1), least, span)
+        some = max(1, 4 * CELLS // len(t))
+        for lo in range(0, len(t), some):
+            x = slice(lo, min(lo + some, len(t)))
+            pair = (t[x, None] != t) & (r[x, None] != r) & (~g[x, None] | (d[x, None] != d)) & (np.arange(len(t)) > np.arange(x.start, x.stop)[:, None])
+            if pair.any():
+                common = count(x.start, x.stop)
+                pair &= (common >= share * (fewest[x, None] + fewest) - 1e-6) | ((repeats[x, None] | repeats) & (common >= SHINGLE))
+            a, b = np.nonzero(pair)
+            held.append((t[a + lo], t[b], p[a + lo], p[b]))
             size += len(a)
             if size >= CHUNK // 4:
                 yield _batch(*map(np.concatenate, zip(*held)), EXACT)
@@ -452,31 +524,52 @@ def _rest(anchored: DataFrame, least_words: int, similarity: float) -> DataFrame
     """(a, b, at) like _links: of texts with frequent keys, stretches that all near-duplicate passages have in common, where the passages found so far do not connect them.
 
     anchored: tk, text, runs."""
-    sure = sure_stretch(least_words - SHINGLE + 1, similarity)
+    least = least_words - SHINGLE + 1
+    sure = sure_stretch(least, similarity)
     span = -(-2 * sure // 3) + 1
+    reach = least_words + GAP + least  # beyond what a chain may leave out between two anchors, a passage more
 
     def keys(batches):
+        """Rows of picked places, and one of each text's words, a byte each."""
         for b in batches:
             out = []
             for tk, text, runs in zip(b.column(0).to_pylist(), texts(b), b.column(2)):
-                sub, at = picked(shingle_hashes(text.lower().split()), span, sure - span + 1)
+                words = word_hashes(text.lower().split())
+                sub, at = picked(_shingled(words), span, sure - span + 1)
+                if not len(at):
+                    continue
                 root = np.full(len(at), tk)
                 if runs.is_valid and len(runs):
                     start, end, of = (runs.values.field(i).to_numpy() for i in range(3))
                     middle = at + (span + SHINGLE) // 2
                     run = np.searchsorted(start, middle, "right") - 1
                     root = np.where((run >= 0) & (middle < end[run]), of[run], root)
-                out.append((sub, np.full(len(at), tk), at, root))
+                out.append((sub, np.full(len(at), tk), at, root, (words % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()))
             if out:
-                sub, tk, at, root = map(np.concatenate, zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sub.view(np.int64), tk, at.astype(np.int64), root)], ["key", "tk", "at", "root"])
-
-    each = stored(anchored.select("tk", "text", "runs").mapInArrow(keys, "key bigint, tk bigint, at bigint, root bigint"))
-    sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", F.ceil(F.col("n") / BLOCK).alias("sides"))
+                *places, words = zip(*out)
+                sub, tk, at, root = map(np.concatenate, places)
+                names = ["key", "tk", "at", "root", "words"]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (sub.view(np.int64), tk, at.astype(np.int64), root)), pa.nulls(len(at), pa.binary())], names)
+                none = pa.nulls(len(words), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array([x[0] for x in places[1]]), none, none, pa.array(words, pa.binary())], names)
+
+    def cut_out(batches):
+        for b in batches:
+            key, at, root, sides = b.column(0).flatten().flatten()
+            n = np.diff(b.column(0).offsets.to_numpy())
+            tk = np.repeat(b.column(2).to_numpy(), n)
+            parts = np.split(at.to_numpy(), n.cumsum()[:-1])
+            around = [bytes(x) for words, of in zip(b.column(1).to_pylist(), parts) for x in _around(np.frombuffer(words, np.uint8), of, span, reach)]
+            yield pa.RecordBatch.from_arrays([key, pa.array(tk), at, root, sides, pa.array(around, pa.binary())], ["key", "tk", "at", "root", "sides", "around"])
+
+    each = stored(anchored.select("tk", "text", "runs").mapInArrow(keys, "key bigint, tk bigint, at bigint, root bigint, words binary"))
+    sizes = each.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", F.ceil(F.col("n") / BLOCK).alias("sides"))
+    met = each.select("key", "tk", "at", "root").join(sizes, "key").groupBy("tk").agg(F.collect_list(F.struct("key", "at", "root", "sides")).alias("places"))
+    around = met.join(each.where("words is not null").select("tk", "words"), "tk").select("places", "words", "tk").mapInArrow(cut_out, "key bigint, tk bigint, at bigint, root bigint, sides bigint, around binary")
     # A key of more than BLOCK rows is compared in cells of a grid, each by itself.
-    cells = each.join(sizes, "key").select("key", F.pmod(F.xxhash64("tk"), "sides").alias("deal"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("with"), "tk", "at", "root")
-    cells = cells.select(F.xxhash64("key", F.least("deal", "with"), F.greatest("deal", "with")).alias("key"), "deal", (F.col("deal") != F.col("with")).alias("grid"), "tk", "at", "root")
-    return _sorted(cells, lambda batches: _by_key(batches, _across), "a bigint, b bigint, at bigint", "key")
+    cells = around.select("key", F.pmod(F.xxhash64("tk"), "sides").alias("deal"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("with"), "tk", "at", "root", "around")
+    cells = cells.select(F.xxhash64("key", F.least("deal", "with"), F.greatest("deal", "with")).alias("key"), "deal", (F.col("deal") != F.col("with")).alias("grid"), "tk", "at", "root", "around")
+    return _sorted(cells, lambda batches: _by_key(batches, lambda *rows: _across(*rows, least, span, similarity)), "a bigint, b bigint, at bigint", "key")
 
 
 def _chains(anchors: list[tuple[int, int, int]], least: int) -> list[list[tuple[int, int, int]]]:

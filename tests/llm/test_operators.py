@@ -202,6 +202,33 @@ def test_no_edited_passage_of_a_frequent_line_is_lost(spark, monkeypatch):
         assert got == {(i, i + 1): (40, 94, 40, 94) for i in range(0, 400, 2)}
 
 
+def test_texts_that_share_a_line_and_no_passage_are_not_verified(spark):
+    words = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    line, block = words("line", 30), [f"{words('b', 26)} {x} {words('c', 4)} " for x in ("one", "two")]
+    texts = {i: f"{words(f'u{i}x', 60)} {line} {words(f'v{i}x', 200)}" for i in range(30)}  # a line
+    texts |= {i: " ".join(f"r{i}x{k} " * 30 for k in range(4)) + "as " * 30 + " ".join(f"s{i}x{k} " * 30 for k in range(4)) for i in range(30, 60)}  # a word 30 times
+    texts |= {i: f"{words('in', 12)} {block[i - 60] * 30} {words('out', 40)}" for i in (60, 61)}  # similar as a whole only, by what is outside the repeats
+    texts |= {i: f"{words(f'w{i}x', 60)} {line} {words('own', 16)} {words(f'z{i}x', 60)}" for i in (62, 63)}  # a line, and more
+    df = spark.createDataFrame([(i, t, None) for i, t in texts.items()], "tk long, text string, runs array<struct<start:long,end:long,root:long>>")
+    got = {(r.a, r.b) for r in passage_dedup._rest(df, 50, 0.8).collect()}
+    assert {(60, 61), (62, 63)} <= got
+    assert len(got) < 100 and all(30 <= a < 60 for a, b in got - {(60, 61), (62, 63)})  # not each with each other; words that share a byte leave some
+
+
+def test_common_shingles_around_a_place_and_fewest_of_a_passage():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(1, n, 139).astype(np.uint8) for n in (250, 250, 3, 2)] + [np.tile(np.arange(1, 21, dtype=np.uint8), 7)[:139]]
+    rows += [np.concatenate((rows[0][:70], rows[1][70:])), np.concatenate((np.zeros(50, np.uint8), rows[2][50:]))]
+    count, fewest, repeats = passage_dedup._in_common(np.array(rows), 46, 15)
+    shingles = [[tuple(r[i : i + 5]) if r[i : i + 5].all() else None for i in range(135)] for r in rows]
+    sets = [set(x) - {None} for x in shingles]
+    assert (count(0, 7) * (1 - np.eye(7)) == np.array([[len(a & b) for b in sets] for a in sets]) * (1 - np.eye(7))).all()
+    want = [min(len(set(x[p : p + 46])) for p in range(29, 61) if None not in x[p : p + 46]) for x in shingles]
+    assert fewest.tolist() == want and repeats.tolist() == [len(s) < len(x) - x.count(None) for s, x in zip(sets, shingles)]
+
+
 def test_equal_stretches_share_a_picked_place():
     import numpy as np
 
