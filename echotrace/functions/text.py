@@ -10,7 +10,8 @@ WORD_CHAR = r"\p{L}\p{N}_"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: A word that may hold apostrophes and hyphens inside.
 INNER_WORD = rf"[{WORD_CHAR}](?:[{WORD_CHAR}'-]*[{WORD_CHAR}])?"
-EDGES = rf"^[^{WORD_CHAR}]+|[^{WORD_CHAR}]+$"
+#: A word without its outer punctuation: from a word character on to the last one before white space (what SPACE has).
+CORE_WORD = rf"[{WORD_CHAR}](?:[^\s\x1c-\x1f\x85\p{{Z}}]*[{WORD_CHAR}])?"
 
 #: Typographic characters and what stands for each.
 STRAIGHT = {"“": '"', "”": '"', "„": '"', "‟": '"', "’": "'", "‘": "'", "‚": "'", "‛": "'", "—": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ", " ": " ", "​": " "}
@@ -54,8 +55,7 @@ def normalize_document(text: Column, notes: bool = True, unescape=None) -> Colum
     s = blank_if_null(text)
     s = strip_credit(straighten(unescape(s) if unescape else s))
     s = s if notes else drop_notes(s)
-    words = F.transform(F.split(F.lower(squeeze(s)), " "), lambda w: F.regexp_replace(w, EDGES, ""))
-    return F.array_join(F.filter(words, lambda w: w != ""), " ")
+    return F.array_join(F.regexp_extract_all(F.lower(s), F.lit(CORE_WORD), F.lit(0)), " ")
 
 
 def normalize_passage(text: Column, compose=None) -> Column:
