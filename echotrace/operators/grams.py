@@ -44,6 +44,18 @@ def inner_words(texts: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(split, fields(texts, key, "tokens int, w array<bigint>, p array<int>"))
 
 
+def hashes(w: np.ndarray, row: np.ndarray, least: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each n where the n-grams of words inside one row begin, and their hashes."""
+    h = w
+    for n in range(1, min(most, len(w)) + 1):
+        if n > 1:
+            h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * MIX + w[n - 1 :]
+        if n >= least:
+            at = np.flatnonzero(row[: len(h)] == row[n - 1 :])
+            g = (h[at] ^ (h[at] >> np.uint64(32))) * END
+            yield n, at, (g ^ (g >> np.uint64(29))).view(np.int64)
+
+
 class Grams:
     """The n-grams of a piece of texts: for each its text's row, hash and the places of its first and last token, in order of n, row and place."""
 
@@ -56,14 +68,8 @@ class Grams:
         self.place[np.repeat(n > 0, self.size)] = p
         self.tokens = batch.column("tokens").to_numpy().astype(np.int64)
         rows, grams, firsts, lasts = [], [], [], []
-        h = w = self.w.view(np.uint64)
-        for n in range(1, min(most, len(w)) + 1):
-            if n > 1:
-                h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * MIX + w[n - 1 :]
-            if n >= least:
-                at = np.flatnonzero(self.row[: len(h)] == self.row[n - 1 :])
-                g = (h[at] ^ (h[at] >> np.uint64(32))) * END
-                rows.append(self.row[at]), grams.append((g ^ (g >> np.uint64(29))).view(np.int64)), firsts.append(self.place[at]), lasts.append(self.place[at + n - 1])
+        for n, at, g in hashes(self.w.view(np.uint64), self.row, least, most):
+            rows.append(self.row[at]), grams.append(g), firsts.append(self.place[at]), lasts.append(self.place[at + n - 1])
         none = [np.zeros(0, np.int64)]
         self.rows, self.grams, self.a, self.b = (np.concatenate(x or none) for x in (rows, grams, firsts, lasts))
 

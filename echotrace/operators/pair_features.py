@@ -6,13 +6,19 @@ ones of a training set can be kept and joined when new pairs are scored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import token_sort_ratio
-from ..functions.text import char_ngrams, ngrams, simple_tokens, squeeze
+from ..functions.text import blank_if_null, simple_tokens, squeeze
+from . import grams as gr
+from .storing import small_batches, stored
 
 
 def term_documents(texts: DataFrame, text: str) -> DataFrame:
@@ -39,34 +45,94 @@ def bm25(pairs: DataFrame, df: DataFrame, size: DataFrame, k1: float = 1.5, b: f
     return pairs.select("pair_id").join(scored, "pair_id", "left").select("pair_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 
 
-def char_grams(text: Column) -> Column:
-    return char_ngrams(F.lower(squeeze(text)), 3, 5)
+class Kind(NamedTuple):
+    """What n-grams are made of: a text's hashed units, or a string for its code points; least and most n."""
 
+    units: Callable[[Column], Column]
+    least: int
+    most: int
 
-def word_grams(text: Column) -> Column:
-    return ngrams(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), 1, 2)
 
+char_grams = Kind(lambda text: F.lower(squeeze(text)), 3, 5)
+word_grams = Kind(lambda text: F.transform(F.regexp_extract_all(F.lower(blank_if_null(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: F.xxhash64(w)), 1, 2)
+#: Pairs that look up their weights together, units handled at a time.
+BLOCK, UNITS = 2048, 1 << 20
 
-def _gram_counts(pairs: DataFrame, grams: Callable[[Column], Column]) -> DataFrame:
-    sides = [pairs.select("pair_id", F.lit(x).alias("side"), F.explode(grams(F.col(x))).alias("gram")) for x in ("s", "v")]
-    return sides[0].union(sides[1]).groupBy("pair_id", "side", "gram").agg(F.count("*").alias("tf"))
 
+def _units(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' units one after another, and how many each has."""
+    if pa.types.is_list(texts.type):
+        return np.concatenate([np.zeros(0, np.int64), pc.list_flatten(texts).to_numpy(zero_copy_only=False)]).astype(np.int64).view(np.uint64), pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = texts.to_pylist()
+    return np.frombuffer("".join(rows).encode("utf-32-le"), "<u4").astype(np.uint64) * gr.MIX, np.array([len(x) for x in rows], np.int64)
+
+
+def _counts(rows: pa.RecordBatch | pa.Table, kind: Kind) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of the rows: the first row, how many; the distinct grams, sorted; key = text * number of grams + gram, sorted, and
+    how often the text has it. Of m rows, text i is row i's s and text m + i its v."""
+    sides = [_units(rows.column(c)) for c in ("s", "v")]
+    ends = [np.concatenate([[0], np.cumsum(n)]) for _, n in sides]
+    part = (ends[0] + ends[1])[1:] // UNITS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), rows.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        w = np.concatenate([x[e[a] : e[b]] for (x, _), e in zip(sides, ends)])
+        text = np.repeat(np.arange(2 * (b - a)), np.concatenate([n[a:b] for _, n in sides]))
+        found = [(text[at], g) for _, at, g in gr.hashes(w, text, kind.least, kind.most)] or [(np.zeros(0, np.int64),) * 2]
+        grams, code = np.unique(np.concatenate([g for _, g in found]), return_inverse=True)
+        yield a, b - a, grams, *np.unique(np.concatenate([t for t, _ in found]) * len(grams) + code, return_counts=True)
+
+
+def _sides(pairs: DataFrame, kind: Kind) -> DataFrame:
+    return pairs.select("pair_id", kind.units(F.col("s")).alias("s"), kind.units(F.col("v")).alias("v"))
+
+
+def tfidf_fit(pairs: DataFrame, grams: Kind, min_df: int = 2) -> DataFrame:
+    """(gram, idf) over the texts of both sides: ln((1 + n) / (1 + df)) + 1; gram is a hash. Texts are counted where they lie."""
+    small_batches(pairs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, g, key, _ in _counts(batch, grams):
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.bincount(key % max(1, len(g)), minlength=len(g)))], ["gram", "n"])
 
-def tfidf_fit(pairs: DataFrame, grams: Callable[[Column], Column], min_df: int = 2) -> DataFrame:
-    """(gram, idf) over the texts of both sides: ln((1 + n) / (1 + df)) + 1."""
     n = pairs.agg((2 * F.count("*")).alias("n"))
-    df = _gram_counts(pairs, grams).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    df = _sides(pairs, grams).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
     return df.crossJoin(F.broadcast(n)).select("gram", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_cosine(pairs: DataFrame, idf: DataFrame, grams: Callable[[Column], Column], name: str) -> DataFrame:
-    """(pair_id, name): cosine of both sides' weights; 0 if a side has none."""
-    w = _gram_counts(pairs, grams).join(idf, "gram").select("pair_id", "side", "gram", (F.col("tf") * F.col("idf")).alias("x"))
-    g = w.groupBy("pair_id", "gram").agg(F.sum(F.when(F.col("side") == "s", F.col("x"))).alias("x"), F.sum(F.when(F.col("side") == "v", F.col("x"))).alias("y"))
-    x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
-    c = g.groupBy("pair_id").agg(F.sum(x * y).alias("num"), (F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))).alias("den"))
-    c = c.select("pair_id", (F.col("num") / F.when(F.col("den") == 0, 1e-8).otherwise(F.col("den"))).alias(name))
-    return pairs.select("pair_id").join(c, "pair_id", "left").select("pair_id", F.coalesce(name, F.lit(0.0)).alias(name))
+def tfidf_cosine(pairs: DataFrame, idf: DataFrame, grams: Kind, name: str) -> DataFrame:
+    """(pair_id, name): cosine of both sides' weights; 0 if a side has none. idf: of tfidf_fit() with the same grams.
+
+    A block of pairs asks for each of its grams once, and meets the answers in one task.
+    """
+    small_batches(pairs.sparkSession)
+    blocks = stored(_sides(pairs, grams).withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:]):
+                for _, _, g, _, _ in _counts(batch.slice(a, b - a), grams):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block[a : a + 1], len(g))), pa.array(g)], ["block", "gram"])
+
+    def cosines(rows: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(known.column("gram").to_numpy())
+        gram, weight = known.column("gram").to_numpy()[order], known.column("idf").to_numpy()[order]
+        out = np.zeros(rows.num_rows)
+        for first, m, g, key, tf in _counts(rows, grams) if len(gram) else ():
+            at = np.minimum(np.searchsorted(gram, g), len(gram) - 1)
+            x = tf * np.where(gram[at] == g, weight[at], 0.0)[key % max(1, len(g))]
+            text = key // max(1, len(g))
+            norm = np.sqrt(np.bincount(text, x * x, minlength=2 * m))
+            half = np.searchsorted(key, m * len(g))
+            both, i, j = np.intersect1d(key[:half], key[half:] - m * len(g), assume_unique=True, return_indices=True)
+            den = norm[:m] * norm[m:]
+            out[first : first + m] = np.bincount(text[i], x[i] * x[half + j], minlength=m) / np.where(den == 0, 1e-8, den)
+        return pa.table([rows.column("pair_id"), pa.array(out)], ["pair_id", name])
+
+    weights = blocks.select("block", "s", "v").mapInArrow(asked, "block bigint, gram bigint").join(idf, "gram").select("block", "gram", "idf")
+    return blocks.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(cosines, gr.fields(pairs, "pair_id", f"{name} double"))
 
 
 def lexical(pairs: DataFrame, sort_ratio: bool = True) -> DataFrame:
