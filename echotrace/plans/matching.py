@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow, text
 from ..operators import retrieval, spans, windows
-from ..operators.storing import kept
+from ..operators.storing import stored
 from ..sources.tables import column, require_columns
 
 
@@ -51,7 +51,7 @@ def normalize_rows(rows: DataFrame, notes: bool = True, flatten: bool = False) -
 
 def match(docs: DataFrame, passages: DataFrame, length: int = 30, stride: int = 5, least: int = 3, most: int = 5, top: int = 10, max_gap: int = 8, min_cov: float = 0.55, min_lcs: float = 0.45) -> DataFrame:
     """Ranked matches of indexed documents and passages, from retrieval to ranks."""
-    docs = kept(docs)  # retrieval, spans and ranks all read it
+    docs = stored(docs)  # retrieval, spans and ranks all read it
     found = retrieval.candidates(docs, passages, length, stride, least, most, top)
     merged = spans.merge_spans(found, max_gap)
     aligned = spans.keep_aligned(spans.add_features(merged, docs, passages, least, most), min_cov, min_lcs)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import pair_features as pf
 from ..operators import retrieval, sampling, spans, windows
-from ..operators.storing import kept
+from ..operators.storing import stored
 from ..sources import pages as pg
 from . import matching
 
@@ -119,7 +119,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score_max DESC,
 @query(f"WITH {_Q} SELECT doc_id, verse_id, ref, start_token, end_token, round(score_max, 6) AS score_max, round(cov_ngram, 6) AS cov_ngram, md5(array_to_string(sw, ' ')) AS snippet_md5, rank_in_doc FROM rk WHERE rank_in_doc <= 10")
 def covered_quotations(spark, d):
     """Quotations kept by coverage alone: the best span of each document and passage, and the ten best of each document."""
-    docs, passages = kept(_docs(spark, d)), _passages(spark, d)
+    docs, passages = stored(_docs(spark, d)), _passages(spark, d)
     s = spans.add_features(spans.merge_spans(retrieval.candidates(docs, passages)), docs, passages)
     ranked = spans.rank_in_document(spans.best_per_passage(spans.keep_aligned(s, min_lcs=2.0))).where("rank_in_doc <= 10")
     return ranked.select("doc_id", "verse_id", "ref", F.col("start_token").cast("long"), F.col("end_token").cast("long"), F.round("score_max", 6).alias("score_max"), F.round("cov_ngram", 6).alias("cov_ngram"), F.md5(F.col("snippet_norm").cast("binary")).alias("snippet_md5"), F.col("rank_in_doc").cast("long"))
