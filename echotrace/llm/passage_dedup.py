@@ -442,14 +442,22 @@ def _fewest(code: np.ndarray, least: int, span: int) -> np.ndarray:
     return out
 
 
-def _in_common(around: np.ndarray, least: int, span: int):
-    """Rows of _around(): a function that counts the common shingles of rows lo to hi and every row, _fewest() of each row, and which rows repeat a shingle."""
+def _codes(around: np.ndarray) -> np.ndarray:
+    """The shingles of rows of _around(), 0 beyond the text."""
     n, width = len(around), around.shape[1] - SHINGLE + 1
     code, whole = np.zeros((n, width), np.uint64), np.ones((n, width), bool)
     for k in range(SHINGLE):
         code = code << np.uint64(8) | around[:, k : k + width]
         whole &= around[:, k : k + width] > 0
     code[~whole] = 0
+    return code
+
+
+def _in_common(around: np.ndarray, least: int, span: int):
+    """Rows of _around(): a function that counts the common shingles of rows lo to hi and every row, _fewest() of each row, and which rows repeat a shingle."""
+    n, width = len(around), around.shape[1] - SHINGLE + 1
+    code = _codes(around)
+    whole = code > 0
     low = np.uint64(2**24 - 1)
     both = np.sort((code << np.uint64(24) | np.arange(n, dtype=np.uint64)[:, None])[whole])
     again = both[1:] == both[:-1]
@@ -476,19 +484,87 @@ def _in_common(around: np.ndarray, least: int, span: int):
     return count, fewest, repeats
 
 
-def _across(key, deal, grid, tk, at, root, around, least, span, similarity):
+def _in_a_passage(around: np.ndarray, before: np.ndarray, after: np.ndarray, least: int, span: int, similarity: float):
+    """Rows of _around(), and how many shingles their texts have before and after these: a function that tells which rows b may be in one passage with row a,
+    and for those (row, place in a, place in b) where runs of shingles begin that they have in common.
+
+    Passages X and Y of that similarity that hold the place have (1 + s) c >= s (|X| + |Y|), c shingles in common. From the first
+    to the last common one that neither row repeats, X and Y have as many as these lie apart, less the repeats, and c is no more
+    than the common ones between and those that a row repeats. So some first and last one must fulfil this, or the passages lie
+    within fewer than least shingles of b, of which enough are common, as |X| and |Y| count least. What lies beyond the rows counts as
+    common; an edit may shift one text over the edge of its row against the other."""
+    code = _codes(around)
+    n, width = code.shape
+    value, ids = np.unique(np.concatenate((np.zeros(1, np.uint64), code.ravel())), return_inverse=True)
+    ids = ids[1:].reshape(n, width)  # 0 beyond the text
+    order = np.argsort(ids, axis=1, kind="stable")
+    inner = np.take_along_axis(ids, order, 1)
+    same = (inner[:, 1:] == inner[:, :-1]) & (inner[:, 1:] > 0)
+    again, several, none = np.zeros((n, width), bool), np.zeros((n, width), bool), np.zeros((n, 1), bool)
+    np.put_along_axis(again, order, np.hstack((none, same)), 1)
+    np.put_along_axis(several, order, np.hstack((none, same)) | np.hstack((same, none)), 1)
+    copies = again.sum(axis=1)
+    s, reach = np.float32(similarity), (width - span) // 2
+    end, q, inside = reach + span - 1, np.arange(width), slice(reach, reach + span)
+    to = q[end:] - least + 1  # the last place where a run up to q may begin
+    to = np.where(to < 0, -1, np.minimum(to, reach))
+    place, twice = np.full(len(value), -1), np.zeros(len(value), bool)
+
+    def edge(x, y):
+        return np.where(np.maximum(x, y) > 0, (1 - s) * np.minimum(x, y) + (1 + s) * SHINGLE, -np.inf).astype(np.float32)
+
+    def judge(a, b):
+        place[ids[a]], twice[ids[a][several[a]]] = q, True
+        place[0] = -1
+        p = place[ids[b]]
+        common = p >= 0
+        alone = common & ~several[b] & ~twice[ids[b]]
+        more = (common & ~alone & ~again[b]).sum(axis=1)
+        place[ids[a]], twice[ids[a]] = -1, False
+        alone[:, inside], p[:, inside] = True, q[inside]
+        count = alone.cumsum(axis=1)
+        score = (1 + s) * count.astype(np.float32) - s * (p + q)
+        first = np.where(alone & (p <= reach), -score, -np.inf)[:, : reach + 1]
+        first[:, 0] = np.maximum(first[:, 0], edge(before[a], before[b]) - (1 + s))
+        last = np.where(alone & (p >= end), score, -np.inf)[:, end:]
+        last[:, -1] = np.maximum(last[:, -1], (1 + s) * count[:, -1] - 2 * s * (width - 1) + edge(after[a], after[b]))
+        repeats = copies[a] + copies[b]
+        ok = (last + np.maximum.accumulate(first, axis=1)[:, to])[:, to >= 0].max(axis=1, initial=-np.inf) + (1 - s) + (1 + s) * more + s * repeats >= -0.01
+        held = np.pad(count, ((0, 0), (1, 0)))
+        low = np.arange(max(0, end - least + 2), reach + 1)
+        ok |= (held[:, np.minimum(low + least - 1, width)] - held[:, low]).max(axis=1) + more >= s * (2 * least - repeats) / (1 + s) - 0.01
+        alone, p = alone[ok], p[ok]
+        alone[:, 1:] &= ~(alone[:, :-1] & (p[:, 1:] == p[:, :-1] + 1))
+        row, at = np.nonzero(alone)
+        return b[ok], (row, p[row, at], at)
+
+    return judge
+
+
+def _across(key, deal, grid, tk, at, root, after, around, least, span, similarity):
     """Links of the pairs of one key, two texts and two roots, of rows sorted by key; in a cell off the grid's diagonal between its two sides.
 
     Passages X and Y of that similarity have (1 + similarity) |X & Y| >= similarity (|X| + |Y|), as sets of shingles. Rows whose
     common shingles around the place are too few for the fewest that X and Y may have are in no passage there. Where a row repeats
-    shingles, a passage may go on by the same ones to others far away, so that such rows are linked unless fewer than SHINGLE are common."""
+    shingles, a passage may go on by the same ones to others far away, so that such rows are left out if fewer than SHINGLE are common.
+    All others are linked that _in_a_passage() leaves, at all runs that they have in common there, which verification goes by."""
     held, size, share = [], 0, similarity / (1 + similarity)
+
+    def linked():
+        a, b, n, at, back = map(np.concatenate, zip(*held))
+        at = pa.ListArray.from_arrays(np.concatenate(([0], n.cumsum())).astype(np.int32), pa.array(np.where(np.repeat(a < b, n), at, back)))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), at], ["a", "b", "at"])
+
     for f, n in zip(*_groups(key)[1:]):
         rows = slice(f, n + 1)
-        d, g, t, p, r = (v[rows] for v in (deal, grid, tk, at, root))
-        if r.min() == r.max() or t.min() == t.max():
+        if root[rows].min() == root[rows].max() or tk[rows].min() == tk[rows].max():
             continue
-        count, fewest, repeats = _in_common(np.frombuffer(b"".join(around[rows]), np.uint8).reshape(len(t), -1), least, span)
+        _, of, size_of = np.unique(root[rows], return_inverse=True, return_counts=True)
+        rows = f + np.argsort(of == size_of.argmax(), kind="stable")  # rows of the most frequent root come last, as they have no pairs with one another
+        d, g, t, p, r, behind = (v[rows] for v in (deal, grid, tk, at, root, after))
+        words = np.frombuffer(b"".join(around[rows]), np.uint8).reshape(len(t), -1)
+        count, fewest, repeats = _in_common(words, least, span)
+        judge = None
         some = max(1, 4 * CELLS // len(t))
         for lo in range(0, len(t), some):
             x = slice(lo, min(lo + some, len(t)))
@@ -496,14 +572,19 @@ def _across(key, deal, grid, tk, at, root, around, least, span, similarity):
             if pair.any():
                 common = count(x.start, x.stop)
                 pair &= (common >= share * (fewest[x, None] + fewest) - 1e-6) | ((repeats[x, None] | repeats) & (common >= SHINGLE))
-            a, b = np.nonzero(pair)
-            held.append((t[a + lo], t[b], p[a + lo], p[b]))
-            size += len(a)
+                reach = (words.shape[1] - SHINGLE + 1 - span) // 2
+                judge = judge or _in_a_passage(words, np.maximum(p - reach, 0), behind, least, span, similarity)
+            for a in np.flatnonzero(pair.any(axis=1)):
+                for b in np.array_split(np.flatnonzero(pair[a]), -(-pair[a].sum() // BLOCK)):
+                    b, (row, x, y) = judge(a + lo, b)
+                    x, y = x + p[a + lo] - reach, y + p[b][row] - reach
+                    held.append((np.full(len(b), t[a + lo]), t[b], np.bincount(row, minlength=len(b)), _pack(x, EXACT, y), _pack(y, EXACT, x)))
+                    size += len(row)
             if size >= CHUNK // 4:
-                yield _batch(*map(np.concatenate, zip(*held)), EXACT)
+                yield linked()
                 held, size = [], 0
     if size:
-        yield _batch(*map(np.concatenate, zip(*held)), EXACT)
+        yield linked()
 
 
 def _runs(sure: DataFrame) -> DataFrame:
@@ -521,7 +602,7 @@ def _runs(sure: DataFrame) -> DataFrame:
 
 
 def _rest(anchored: DataFrame, least_words: int, similarity: float) -> DataFrame:
-    """(a, b, at) like _links: of texts with frequent keys, stretches that all near-duplicate passages have in common, where the passages found so far do not connect them.
+    """(a, b, at) like _links, with a list of places: of texts with frequent keys, stretches that all near-duplicate passages have in common, where the passages found so far do not connect them.
 
     anchored: tk, text, runs."""
     least = least_words - SHINGLE + 1
@@ -560,16 +641,17 @@ def _rest(anchored: DataFrame, least_words: int, similarity: float) -> DataFrame
             tk = np.repeat(b.column(2).to_numpy(), n)
             parts = np.split(at.to_numpy(), n.cumsum()[:-1])
             around = [bytes(x) for words, of in zip(b.column(1).to_pylist(), parts) for x in _around(np.frombuffer(words, np.uint8), of, span, reach)]
-            yield pa.RecordBatch.from_arrays([key, pa.array(tk), at, root, sides, pa.array(around, pa.binary())], ["key", "tk", "at", "root", "sides", "around"])
+            after = [np.maximum(len(words) - SHINGLE + 1 - span - reach - of, 0) for words, of in zip(b.column(1).to_pylist(), parts)]
+            yield pa.RecordBatch.from_arrays([key, pa.array(tk), at, root, sides, pa.array(np.concatenate(after), pa.int32()), pa.array(around, pa.binary())], ["key", "tk", "at", "root", "sides", "after", "around"])
 
     each = stored(anchored.select("tk", "text", "runs").mapInArrow(keys, "key bigint, tk bigint, at bigint, root bigint, words binary"))
     sizes = each.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", F.ceil(F.col("n") / BLOCK).alias("sides"))
     met = each.select("key", "tk", "at", "root").join(sizes, "key").groupBy("tk").agg(F.collect_list(F.struct("key", "at", "root", "sides")).alias("places"))
-    around = met.join(each.where("words is not null").select("tk", "words"), "tk").select("places", "words", "tk").mapInArrow(cut_out, "key bigint, tk bigint, at bigint, root bigint, sides bigint, around binary")
+    around = met.join(each.where("words is not null").select("tk", "words"), "tk").select("places", "words", "tk").mapInArrow(cut_out, "key bigint, tk bigint, at bigint, root bigint, sides bigint, after int, around binary")
     # A key of more than BLOCK rows is compared in cells of a grid, each by itself.
-    cells = around.select("key", F.pmod(F.xxhash64("tk"), "sides").alias("deal"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("with"), "tk", "at", "root", "around")
-    cells = cells.select(F.xxhash64("key", F.least("deal", "with"), F.greatest("deal", "with")).alias("key"), "deal", (F.col("deal") != F.col("with")).alias("grid"), "tk", "at", "root", "around")
-    return _sorted(cells, lambda batches: _by_key(batches, lambda *rows: _across(*rows, least, span, similarity)), "a bigint, b bigint, at bigint", "key")
+    cells = around.select("key", F.pmod(F.xxhash64("tk"), "sides").alias("deal"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("with"), "tk", "at", "root", "after", "around")
+    cells = cells.select(F.xxhash64("key", F.least("deal", "with"), F.greatest("deal", "with")).alias("key"), "deal", (F.col("deal") != F.col("with")).alias("grid"), "tk", "at", "root", "after", "around")
+    return _sorted(cells, lambda batches: _by_key(batches, lambda *rows: _across(*rows, least, span, similarity)), "a bigint, b bigint, at array<bigint>", "key")
 
 
 def _chains(anchors: list[tuple[int, int, int]], least: int) -> list[list[tuple[int, int, int]]]:
@@ -680,28 +762,29 @@ def _judge(a: list[bytes], b: list[bytes], parts: list[tuple[int, int, int, int]
     return found
 
 
-def passages(a: list[bytes], b: list[bytes], chain: list[tuple[int, int, int]], least_words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+def passages(a: list[bytes], b: list[bytes], chain: list[tuple[int, int, int]], least_words: int, similarity: float, every: bool = False) -> list[tuple[int, int, int, int, float]]:
     """(start_a, end_a, start_b, end_b, similarity) of the passages that a chain of anchors leads to.
 
     They begin and end with equal words. Past the outermost anchors small edits are stepped over where
-    SHINGLE words agree behind them, or for passages that would else be too short, one word."""
-    by_diagonal = defaultdict(list)
-    for x in chain:
-        by_diagonal[x[0] - x[1]].append(x)
-    diagonals = list(by_diagonal.values()) if len(by_diagonal) > 1 else []
+    SHINGLE words agree behind them, or for passages that would else be too short, one word. With ``every``
+    anchors outside the passages found go on to be tried alone, by their diagonals and with one word."""
+    found: set[tuple[int, int, int, int, float]] = set()
     for need in (SHINGLE, 1):
-        parts = _stretches(a, b, chain, need)
-        if found := _judge(a, b, parts, least_words, similarity):
-            return sorted(found)
-        judged, rest = {tuple(parts)}, set()
-        for part in diagonals:
-            parts = _stretches(a, b, part, need)
-            if tuple(parts) not in judged:  # diagonals near each other often lead to the same stretches
-                judged.add(tuple(parts))
-                rest.update(_judge(a, b, parts, least_words, similarity))
-        if rest:
-            return sorted(rest)
-    return []
+        judged = set()
+        by_diagonal = defaultdict(list)
+        for x in chain:
+            by_diagonal[x[0] - x[1]].append(x)
+        for ways in ([chain], by_diagonal.values() if len(by_diagonal) > 1 else []):
+            for part in ways:
+                parts = _stretches(a, b, part, need)
+                if tuple(parts) not in judged:  # diagonals near each other often lead to the same stretches
+                    judged.add(tuple(parts))
+                    found.update(_judge(a, b, parts, least_words, similarity))
+            if found:
+                chain = [x for x in chain if not any(sa <= x[0] < ea and sb <= x[1] < eb for sa, ea, sb, eb, _ in found)] if every else []
+                if not chain:
+                    return sorted(found)
+    return sorted(found)
 
 
 def _found(docs: DataFrame, least_words: int, similarity: float, hashes: int, agree: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -750,7 +833,7 @@ def _found(docs: DataFrame, least_words: int, similarity: float, hashes: int, ag
                 kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int8())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id_a", "id_b", "b", "at", "words", "ca", "off", "js"])
 
-    def verify(batches):
+    def verify(batches, every):
         seen, words = None, []
         for b in batches:
             out = []
@@ -758,25 +841,25 @@ def _found(docs: DataFrame, least_words: int, similarity: float, hashes: int, ag
                 if ib != seen:
                     seen, words = ib, text.lower().split()
                 chain = [(x - at, x + y, j) for x, y, j in zip(ca, off, js)]
-                for sa, ea, sb, eb, s in passages(part.split(), words, chain, least_words, similarity):
+                for sa, ea, sb, eb, s in passages(part.split(), words, chain, least_words, similarity, every):
                     sa, ea = sa + at, ea + at
                     out.append((ia, ib, sa, ea, sb, eb, s) if ia < ib else (ib, ia, sb, eb, sa, ea, s))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 6 else pa.float64()) for i, c in enumerate(zip(*out))], [f.split()[0] for f in PAIRS.split(", ")])
 
-    def verified(pairs):
+    def verified(pairs, every=False):
         named = pairs.join(side("a"), "a").join(side("b"), "b")
         first = named.join(texts_of("a"), ["id_a", "a"]).select("id_a", "id_b", "b", "text_a", "anchors")
         clips = first.mapInArrow(clip, "id_a bigint, id_b bigint, b bigint, at bigint, words binary, ca array<int>, off array<int>, js array<tinyint>")
         whole = clips.join(texts_of("b"), ["id_b", "b"]).select("id_a", "id_b", "at", "words", "text_b", "ca", "off", "js")
-        return whole.mapInArrow(verify, PAIRS).distinct()
+        return whole.mapInArrow(lambda batches: verify(batches, every), PAIRS).distinct()
 
     between = stored(verified(pairs))
     release(docs.sparkSession)
     open_ = anchored.join(_runs(between).withColumnRenamed("id", "id_o"), "id_o", "left")
-    rest = stored(_rest(open_, least_words, similarity).groupBy("a", "b").agg(F.collect_set("at").alias("anchors")))
+    rest = stored(_rest(open_, least_words, similarity).groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("anchors")))
     release(docs.sparkSession)
-    return between.unionByName(stored(verified(rest))).distinct(), ids, classes
+    return between.unionByName(stored(verified(rest, True))).distinct(), ids, classes
 
 
 def near_passages(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, agree: int = AGREE) -> DataFrame:

@@ -215,6 +215,39 @@ def test_texts_that_share_a_line_and_no_passage_are_not_verified(spark):
     assert len(got) < 100 and all(30 <= a < 60 for a, b in got - {(60, 61), (62, 63)})  # not each with each other; words that share a byte leave some
 
 
+def test_near_copies_without_a_passage_are_not_verified_pair_by_pair(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    near = lambda model, gap, at: [w if 55 <= k < 85 or k % gap != at else word() for k, w in enumerate(model)]
+    one, two = ([word() for _ in range(130)] for _ in range(2))
+    rows = {i: near(one, 8, 6) for i in range(100)}  # an edit every 8 words around a stretch that all share: no passages
+    rows |= {i: near(two, 20, i % 20) for i in range(100, 130)}  # every 20 words: some have passages
+    df = spark.createDataFrame([(i, " ".join(x), None) for i, x in rows.items()], "tk long, text string, runs array<struct<start:long,end:long,root:long>>")
+    got = {(r.a, r.b) for r in passage_dedup._rest(df, 50, 0.8).select("a", "b").collect()}
+    assert not {x for x in got if x[0] < 100}
+
+    shingles = lambda x: {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
+    similar = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    want = set()
+    for a in range(100, 108):  # brute force, at equal places as words are edited only
+        for b in range(a + 1, 130):
+            if any(similar(shingles(rows[a][x : x + n]), shingles(rows[b][x : x + n])) for x in range(0, 56) for n in range(max(50, 85 - x), 131 - x, 3)):
+                want.add((a, b))
+    assert len(want) > 20 and want <= got
+
+
+def test_every_anchor_outside_the_passages_found_is_tried():
+    a = [f"a{k}".encode() for k in range(260)]
+    b = [b"x%d" % k if k in (221, 223, 225, 227, 229) or 100 <= k < 160 or k >= 231 else w for k, w in enumerate(a)]
+    b[170:221] = a[170:221]
+    b[185] = b"y"
+    chain = [(0, 0, 7), (60, 60, 7), (200, 200, 7)]
+    assert [x[:4] for x in passage_dedup.passages(a, b, chain, 50, 0.8)][0][:2] == (0, 100)
+    assert any(x[0] >= 150 for x in passage_dedup.passages(a, b, chain, 50, 0.8, True))
+
+
 def test_common_shingles_around_a_place_and_fewest_of_a_passage():
     import numpy as np
 
